@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def text_strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def slices(batch: pa.RecordBatch, name: str = "text") -> Iterator[pa.RecordBatch]:
     """``batch`` in order, cut where a text column passes ``SLICE_BYTES``."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(name)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > SLICE_BYTES:
