@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, line_dedup, packing, quality, simhash, substring
+from . import chat, decontam, line_dedup, packing, pii, quality, simhash, substring
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(table(spark, sf_dir, "conversations"))
 
@@ -48,7 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op4_chat_format, op6_simhash, op7_quality, op8_substring_dedup, op9_packing, op10_decontamination]
+    found = [op1_line_dedup, op2_pii, op4_chat_format, op6_simhash, op7_quality, op8_substring_dedup, op9_packing, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
