@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, line_dedup, packing, pii, quality, simhash, substring
+from . import chat, decontam, html, line_dedup, packing, pii, quality, simhash, substring
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(table(spark, sf_dir, "conversations"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_pii, op4_chat_format, op6_simhash, op7_quality, op8_substring_dedup, op9_packing, op10_decontamination]
+    found = [op1_line_dedup, op2_pii, op4_chat_format, op5_html_extract, op6_simhash, op7_quality, op8_substring_dedup, op9_packing, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
