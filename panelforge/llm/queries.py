@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html, line_dedup, packing, pii, quality, simhash, substring
+from . import chat, decontam, html, line_dedup, media, packing, pii, quality, simhash, substring
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(table(spark, sf_dir, "conversations"))
 
@@ -56,7 +60,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_pii, op4_chat_format, op5_html_extract, op6_simhash, op7_quality, op8_substring_dedup, op9_packing, op10_decontamination]
+    found = [
+        op1_line_dedup, op2_pii, op3_media_chunks, op4_chat_format, op5_html_extract, op6_simhash,
+        op7_quality, op8_substring_dedup, op9_packing, op10_decontamination,
+    ]
     return {f.__name__: f for f in found}
 
 
