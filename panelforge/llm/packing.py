@@ -21,6 +21,7 @@ null. Repeated rows are packed each by itself. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -129,6 +130,12 @@ class WordEncoder:
         return [b"".join(map(get, c)) for c in chunked]
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder for each Python worker, so what it remembers serves all its tasks."""
+    return WordEncoder(path)
+
+
 def pieces_of(raw: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
     """(start, length, CRC-32) of each piece of a document's packed ids."""
     n = len(raw) // 4
@@ -143,7 +150,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         for batch in batches:
             for part in slices(batch):
                 out = []
