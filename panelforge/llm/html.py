@@ -90,15 +90,18 @@ class Lines(HTMLParser):
         self.parents, self.kinds = [-1], ["root"]
         self.container = 0
         self.parts: list[str] = []
+        #: Text of what is left out, kept apart from the line it may stand in.
+        self.left_out: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int, bool]] = []
 
     def end_line(self) -> None:
-        if self.parts:
-            if text := " ".join("".join(self.parts).split()):
-                self.lines.append((text, self.tags, self.container, self.skipping == 0))
-                self.tags = 0
-            self.parts.clear()
+        for parts, may in ((self.parts, True), (self.left_out, False)):
+            if parts:
+                if text := " ".join("".join(parts).split()):
+                    self.lines.append((text, self.tags, self.container, may))
+                    self.tags = 0
+                parts.clear()
 
     def handle_starttag(self, tag: str, attrs) -> None:
         self.tags += 1
@@ -110,7 +113,7 @@ class Lines(HTMLParser):
                 self._close_inline_to(tag)
         if tag in VOID:
             if tag == "br":
-                self.parts.append(" ")
+                self.handle_data(" ")
             return
         if tag in ("article", "main") and self.skipping:
             while self.skipping:
@@ -159,7 +162,7 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        (self.left_out if self.skipping else self.parts).append(data)
 
     def unknown_decl(self, data: str) -> None:
         """Marked sections are markup."""

@@ -429,7 +429,7 @@ def one_of_each(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         "kept",
     )
     listed = prints.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = listed.select(F.col("doc_id").alias("id"), "key").join(kept, ["id", "key"], "left_semi")
+    repeated = _same_rows(listed.select(F.col("doc_id").alias("id"), "key"), kept, "left_semi")
     if repeated.isEmpty():
         return _matching(docs, kept, "left_semi")
     several = _matching(docs, repeated, "left_semi")
@@ -444,10 +444,16 @@ def one_of_each(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         .where("n = 1")
         .select("d.*")
     )
-    single = kept.join(repeated, ["id", "key"], "left_anti")
+    single = _same_rows(kept, repeated, "left_anti")
     return _matching(docs, single, "left_semi").unionByName(one)
 
 
+def _same_rows(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Semi- or anti-join on (id, key); null ids are equal."""
+    r = right.select(F.col("id").alias("other_id"), F.col("key").alias("other_key"))
+    return left.join(r, left["id"].eqNullSafe(r["other_id"]) & (left["key"] == r["other_key"]), how)
+
+
 def _matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Semi-join of ``docs`` with keys (id, key); the keys are the side that is hashed."""
     right = keys.select(F.col("id").alias("match_id"), F.col("key").alias("match_key"))

@@ -1,0 +1,322 @@
+"""Decontamination, quality, personal data, media, chat, pages and packing."""
+
+import hashlib
+import re
+import zlib
+
+import duckdb
+import hypothesis.strategies as st
+import numpy as np
+import pandas as pd
+import pytest
+from fixtures import corpus, documents, empty
+from hypothesis import given, settings
+from pyspark.sql import functions as F
+
+from panelforge.llm import chat, decontam, html, media, packing, pii, quality
+from panelforge.llm.queries import tokenizer_path
+
+# Decontamination
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def brute_contamination(text, items, size=13):
+    words = WORD.findall(lowered(text or ""))
+    hit, found = set(), set()
+    for item, t in items:
+        w = WORD.findall(lowered(t or ""))
+        spans = [w] if 0 < len(w) <= size else [w[i : i + size] for i in range(len(w) - size + 1)] if w else []
+        for span in spans:
+            for p in range(len(words) - len(span) + 1):
+                if words[p : p + len(span)] == span:
+                    hit.update(range(p, p + len(span)))
+                    found.add("" if item is None else str(item))
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_contamination_is_brute_force(spark, block):
+    rows = corpus()
+    body = rows[5][1].split()
+    items = [(1, " ".join(body[:20])), (2, "Alpha"), (10, " ".join(body[3:9]).upper()), (3, None), (4, ""), (5, "never there at all"),
+             (None, " ".join(rows[0][1].split()[-14:])), (1, " ".join(body[:20])), (6, "東京 語")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("extra", F.lit(1))
+    got = decontam.contamination(documents(spark), bench, block_bytes=block).collect()
+    assert len(got) == len(rows)
+    have = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got)
+    want = []
+    for i, t in rows:
+        n, h, k, s = brute_contamination(t, items)
+        want.append((i is None, i or 0, n, h, k, s, h > 0 and 20 * h >= n))
+    assert have == sorted(want)
+    clean = decontam.without_contaminated(documents(spark), bench, block_bytes=block)
+    assert clean.columns == documents(spark).columns
+    assert clean.count() == sum(not w[-1] for w in want)
+
+
+def test_contamination_of_empty_tables(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    got = decontam.contamination(documents(spark), none).collect()
+    assert len(got) == len(corpus()) and not any(r["contaminated"] for r in got)
+    some = spark.createDataFrame([(1, "alpha")], "item_id long, text string")
+    assert decontam.contamination(empty(spark), some).collect() == []
+
+
+# Quality
+
+
+def labelled(spark, n=400):
+    rng = np.random.default_rng(0)
+    good, bad = [f"w{i}" for i in range(50)], [f"x{i}$$" for i in range(50)]
+    rows = [(i, " ".join(rng.choice(bad if i % 5 == 0 else good, 30))) for i in range(n)]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(n)] + [(n + 1, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    return rows, labels
+
+
+def test_quality_learns_and_never_sees_the_held_out_quarter(spark):
+    rows, labels = labelled(spark)
+    docs = documents(spark, rows)
+    w = quality.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality.scored(docs, w).collect()}
+    for i, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
+    held = [(r["score"], i % 5 != 0) for i, r in got.items() if r["held_out"]]
+    assert np.mean([(s >= 0.7) == y for s, y in held]) > 0.95
+    flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert np.array_equal(w, quality.fit(docs, flipped))
+    kept = quality.accepted(docs, w)
+    assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] for r in got.values())
+
+
+def test_quality_of_odd_rows(spark):
+    _, labels = labelled(spark)
+    w = quality.fit(empty(spark), labels)
+    assert quality.scored(documents(spark), w).count() == len(corpus())
+    assert quality.scored(empty(spark), w).collect() == []
+    rows = quality.training_rows(documents(spark, labelled(spark)[0]).select("doc_id", "text"), labels, sample=20)
+    assert len(rows) == 20
+    model = quality.Ftrl(4)
+    model.learn(np.array([1]), np.array([1.0]), 1.0)
+    assert model.weights()[1] > 0 and model.weights()[2] == 0
+
+
+# Personal data
+
+
+def brute_spans(t):
+    o = [(m.start(), "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    o += [(m.start(), "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
+            o.append((m.start(), "card", m.end()))
+    o += [(m.start(), "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(o, key=lambda s: (s[0], pii.ORDER[s[1]]))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("0123456789..-- +()@@ab_%é\n", max_size=60))
+def test_base_spans_are_brute_force(t):
+    assert sorted(pii.base_spans(t), key=lambda s: (s[0], pii.ORDER[s[1]])) == brute_spans(t)
+
+
+def test_personal_data(spark):
+    t = "é mail a.b@c.example.org or call +1 (302) 555-8032, card 4111 1111 1111 1111, host 10.0.0.255, password=531ccd051a92ebcb68, social security 123-45-6789"
+    docs = documents(spark, [(1, t), (2, None), (3, ""), (1, t)])
+    got = {r["doc_id"]: r for r in pii.personal_data(docs).collect()}
+    r = got[1]
+    assert (r["n_email"], r["n_phone"], r["n_card"], r["n_ip"]) == (1, 1, 1, 1)
+    base = ",".join(f"{k}:{s}:{e}" for s, k, e in brute_spans(t))
+    assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+    assert set(base.split(",")) <= set(r["spans"].split(",")) and "secret:" in r["spans"] and "ssn:" in r["spans"]
+    assert got[2]["spans"] == "" and got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    clean = {x["doc_id"]: x["text"] for x in pii.redact(docs).collect()}
+    assert "555" not in clean[1] and "[EMAIL]" in clean[1] and clean[2] is None
+    assert pii.personal_data(empty(spark)).collect() == []
+    assert pii.personal_data(documents(spark)).count() == len(corpus())
+
+
+def test_trees_judge_unseen_examples():
+    trees, limits = pii.judge()
+    rows = pii.examples(2000, seed=99)
+    p = trees.predict(np.array([pii.features(t, s) for t, s, _ in rows]))
+    said = np.array([x >= limits[s[1]] for x, (_, s, _) in zip(p, rows)])
+    truth = np.array([y for _, _, y in rows], bool)
+    assert (said & truth).sum() / said.sum() > 0.93 and (said & truth).sum() / truth.sum() > 0.85
+    assert pii.listed([]) == "" and pii.redacted("ab cd", [(0, "ip", 2), (1, "card", 4)]) == "[IP]d"
+
+
+# Media
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(max_size=30_000))
+def test_chunks_make_up_the_payload(data):
+    p = media.payload_of(data)
+    chunks = media.chunks_of(p)
+    assert b"".join(c for _, c in chunks) == p and len(p) % 192 == 0 and p
+    assert all(media.SMALLEST <= len(c) <= media.LARGEST for _, c in chunks[:-1])
+    assert media.opened(media.container(chunks)) == chunks
+
+
+def test_rolling_hash_and_shifted_content():
+    rng = np.random.default_rng(0)
+    data = rng.integers(32, 127, 60_000, dtype=np.uint8).tobytes()
+    h, table = 0, media.gear()
+    for b, r in zip(data[:500], media.rolling(data[:500])):
+        h = ((h << 1) + int(table[b])) & 0xFFFFFFFF
+        assert h == int(r)
+    a, b = ({d for d, _ in media.chunks_of(x)} for x in (data, b"inserted" + data))
+    assert len(a & b) > 0.8 * len(a)
+    with pytest.raises(ValueError):
+        media.opened(media.container([(b"0" * 16, b"wrong")]))
+
+
+def test_media_round_trip(spark):
+    rows = corpus()
+    rng = np.random.default_rng(1)
+    shared = "".join(map(chr, rng.integers(97, 123, 30_000)))
+    rows += [(200 + i, f"{i} " * 3000 + shared) for i in range(4)]
+    docs = documents(spark, rows)
+    kept = media.store(docs)
+    got = media.read_back(kept).collect()
+    assert len(got) == len(rows) and kept.documents.where("list is not null").count() >= 4
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, set()).add(media.payload_of((t or "").encode()))
+    for r in got:
+        match = [p for p in texts[r["doc_id"]] if hashlib.sha256(p).hexdigest() == r["payload_sha256"]]
+        assert len(match) == 1
+        p = match[0]
+        whole = media.container(media.chunks_of(p))
+        assert (r["payload_bytes"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (len(p), zlib.crc32(p[-16:]), len(whole), hashlib.sha256(whole).hexdigest())
+        assert r["n_bytes"] <= len(p) and r["feature"] == media.feature_of(p, len(media.chunks_of(p)))
+    assert {bytes(x["payload"]) for x in media.payloads(kept).collect()} == set().union(*texts.values())
+    assert kept.shared.count() == kept.shared.select("digest").distinct().count()
+    assert media.media_features(empty(spark)).collect() == []
+
+
+# Chat
+
+TURNS = [
+    (1, 0, "user", "hi <|im_end|> 100%25 <%7C"), (1, 1, "assistant", "a\nb"), (1, 1, "assistant", "a\nb"), (1, None, "sys\ntem%0A", "first"),
+    (2, 0, "user", None), (2, 1, None, "x"), (None, 0, "assistant", "<|im_start|>assistant\n"), (3, 0, "assistant", ""), (3, 1, "assistant", "<"), (4, 0, "user", "é" * 5000),
+]
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def test_chat_equals_its_sql_and_round_trips(spark):
+    turns = spark.createDataFrame(TURNS, SCHEMA)
+    got = chat.chat_digests(turns.withColumn("ts", F.lit(1)))
+    con = duckdb.connect()
+    frame = pd.DataFrame(TURNS, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con.register("conversations", frame)
+    rel = con.sql(chat.ORACLE)
+    key = lambda r: str(r)
+    assert sorted((tuple(r) for r in got.select(*rel.columns).collect()), key=key) == sorted(rel.fetchall(), key=key)
+    back = {r["conv_id"]: r["turns"] for r in chat.read_back(chat.format_conversations(turns)).collect()}
+    assert [(t["role"], t["text"]) for t in back[1]] == [("sys\ntem%0A", "first"), ("user", "hi <|im_end|> 100%25 <%7C"), ("assistant", "a\nb"), ("assistant", "a\nb")]
+    none = spark.createDataFrame([], SCHEMA)
+    assert [r["conv_id"] for r in chat.chat_digests(none).collect()] == [-1]
+
+
+def test_parts_become_placeholders(spark):
+    part = lambda kind, text=None, ref=None, w=None, h=None, s=None, p=None: (kind, text, ref, w, h, s, p)
+    turns = spark.createDataFrame(
+        [(1, 0, "user", [part("text", "see <|image|> "), part("image", ref="a", w=56, h=29), None, part("audio", ref="b", s=1.2), part("document", ref="c", p=3), part("odd", "t")]),
+         (1, 1, "assistant", None), (1, 2, "user", [part("image", ref="d")])],
+        f"conv_id long, turn long, role string, parts array<{chat.PART}>",
+    )
+    r = chat.format_parts(turns).first()
+    assert r["formatted"].startswith("<|im_start|>user\nsee <%7Cimage|> <|image|><|audio|><|document|>t<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n")
+    assert [(a["place"], a["ref"], a["tokens"]) for a in r["attachments"]] == [(0, "a", 4), (0, "b", 50), (0, "c", 2400), (2, "d", 1)]
+    assert r["expanded_tokens"] == 2455
+
+
+# Pages
+
+PAGE = (
+    '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav><div class="ad">Buy now please.</div>'
+    "<article><header><h1>Title &amp; more</h1></header><p><b>Lead.<br><p>A long   paragraph\nwith words &eacute; and text that goes on for a while.</p><p>Short.</p>"
+    '<div class="comments"><p>Nice article, thanks for writing all of this down for us.</p></div><form>mail<input></form></article><footer>&copy; site</footer>'
+)
+
+
+@pytest.mark.parametrize("page,text", [
+    (PAGE, "Title & more\nLead.\nA long paragraph with words é and text that goes on for a while.\nShort."),
+    ("", ""), (None, ""), ("plain &lt; text", "plain < text"), ("<p>a<p>b &nbsp;c", "a\nb c"), ("<div class='sidebar'>open<article><p>x</article>", "x"),
+    ("<body><header>site</header><div id=menu><p>m m m</div><div id=content><p>one two three four five six.</p><p>end</p></div><div id=cookie-notice>we use</div>", "one two three four five six.\nend"),
+    ("<article><ul><li>i1<li>i2</ul><table><tr><td>c1<td>c2</table></article>", "i1\ni2\nc1\nc2"), ("<style>a</style><!-- c -->", ""), ("<article><p>a <button>B</button>b<script>x</script></p></article>", "a b"),
+])
+def test_main_text(page, text):
+    assert html.main_text(page or "") == text
+
+
+def test_pages(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "<p>z", "z"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
+    got = html.extract(pages).collect()
+    assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert html.extract(pages.limit(0)).collect() == []
+    assert html.smoothed(np.ones(5)) == pytest.approx(np.ones(5))
+
+
+# Packing
+
+
+def test_encoder_is_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = [x or "" for _, x in corpus()] + ["It's WE'LL don't 12.5% naïve Über_x <|endoftext|> ﬁ İ ΑΣ á  x\ty\r\nz 'S's", "   ", "ﷺ 東京tower🙂🙂 --- ***"]
+    for encoder in (packing.WordEncoder(tokenizer_path()), packing.WordEncoder(tokenizer_path(), 5, 5)):
+        for _ in range(2):
+            for text, raw in zip(texts, encoder.encode(texts)):
+                assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 400), min_size=1, max_size=24))
+def test_patterns_hold_the_demand_and_fit(counts):
+    demand = np.array(counts + [0] * (24 - len(counts)))
+    plan = packing.solve_patterns(demand, 24)
+    total = np.zeros(24, int)
+    for pattern, copies in plan:
+        assert copies > 0 and (pattern * np.arange(1, 25)).sum() <= 24
+        total += pattern * copies
+    assert (total == demand).all()
+    rolls, bound = sum(c for _, c in plan), -(-int((demand * np.arange(1, 25)).sum()) // 24)
+    assert bound <= rolls <= 1.3 * bound + 24
+
+
+def test_knapsack_prices_the_best_pattern():
+    prices = np.array([0.1, 0.35, 0.5, 0.0, 0.9])
+    p = packing.knapsack(prices, 9)
+    assert (p * np.arange(1, 6)).sum() <= 9 and p @ prices == pytest.approx(0.9 + 0.35 * 2)
+
+
+@pytest.mark.parametrize("capacity,grain", [(4096, 8), (64, 4)])
+def test_packing_places_every_id_once(spark, capacity, grain):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    rows = [(i, x) for i, x in corpus() if i not in (2, 3, None)] + [(900 + i, "alpha") for i in range(60)]
+    got = packing.pack(documents(spark, rows), tokenizer_path(), capacity, grain).toPandas()
+    for i, x in rows:
+        ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4")
+        at = 0
+        for p in got[got.doc_id == i].sort_values("start").itertuples():
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= capacity
+    assert got.length.sum() / (got.sequence_id.nunique() * capacity) > 0.85
+    assert packing.pack(empty(spark), tokenizer_path()).collect() == []
+    assert packing.pack(documents(spark), tokenizer_path()).select("doc_id").count() >= len(corpus())
