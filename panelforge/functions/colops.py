@@ -72,3 +72,8 @@ def flag(x: Column) -> Column:
 def r(x: Column, digits: int = 6) -> Column:
     """Rounded for comparison, without a negative zero."""
     return F.round(x, digits) + F.lit(0.0)
+
+
+def correlation(a: str, b: str) -> Column:
+    """Correlation of an aggregate's rows; missing where a side does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.colops import by_date, rolling
+from ..functions.colops import by_date, correlation, rolling
 from ..functions.storage import materialise
 
 
@@ -65,7 +65,7 @@ def gate_overlap(frame: DataFrame, a: str, b: str, criterion_a: str, criterion_b
     totals = x.agg(
         F.try_divide(F.count_if(F.col(a) & F.col(b)), F.count_if(F.col(a) | F.col(b))).alias("jaccard"),
         F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement"),
-        F.corr("_a", "_b").alias("spearman"),
+        correlation("_a", "_b").alias("spearman"),
     )
     days = frame.groupBy("date").agg(F.count_if(a).alias("na"), F.count_if(b).alias("nb"))
     return totals.crossJoin(days.agg(F.avg("na").alias("mean_a"), F.avg("nb").alias("mean_b")))  # one row each

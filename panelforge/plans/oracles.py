@@ -209,7 +209,7 @@ CTE: dict[str, str] = {
     "prd1": f"SELECT *, {rank('rev')} AS rk FROM prd0 WHERE idio_vol_20d IS NOT NULL AND reversal_1d IS NOT NULL",
     "prd": (
         "SELECT date, ticker, round(target, 8) AS y, vol, "
-        + ", ".join(f"round(rk * 0.01::DOUBLE * s + ({z})::DOUBLE * s, 8) AS {q}" for q, z in zip(Q, Z)) + " FROM prd1"
+        + ", ".join(f"round(rk * 0.01::DOUBLE * s + ({z})::DOUBLE * s, 13) AS {q}" for q, z in zip(Q, Z)) + " FROM prd1"
     ),
     "scr": "SELECT * FROM prd WHERE y IS NOT NULL",
     "unp": "SELECT date, ticker, y, level, q FROM (" + " UNION ALL ".join(f"SELECT date, ticker, y, {x}::DOUBLE AS level, {q} AS q FROM scr" for x, q in zip(LEVELS, Q)) + ")",

@@ -26,8 +26,8 @@ from .setup import LEVELS, S
 
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
 KEY = ["date", "ticker"]
-#: Digits of expected returns: sums of eight-digit quantiles have ten, so no tie is rounded.
-MU = 11
+#: Digits of expected returns: sums of quantiles of thirteen digits have fifteen, so no tie is rounded.
+MU = 15
 
 
 def query(oracle: str | None = None):

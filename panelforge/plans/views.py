@@ -76,7 +76,7 @@ def preds(spark, sf) -> DataFrame:
     s = s.withColumn("vol", F.round(gate.trailing_vol(), 8))
     rank = average_rank(F.round("reversal_1d", 8), "date")
     base = s.where("idio_vol_20d is not null and reversal_1d is not null").withColumn("_r", rank).withColumn("_s", F.round("idio_vol_20d", 8))
-    q = {f"q{round(x * 100)}": F.round(F.col("_r") * 0.01 * F.col("_s") + F.lit(z) * F.col("_s"), 8) for x, z in zip(LEVELS, Z)}
+    q = {f"q{round(x * 100)}": F.round(F.col("_r") * 0.01 * F.col("_s") + F.lit(z) * F.col("_s"), 13) for x, z in zip(LEVELS, Z)}
     return base.select("date", "ticker", F.round("target", 8).alias("y"), "vol", *[c.alias(n) for n, c in q.items()])
 
 
