@@ -35,10 +35,12 @@ from ..functions.storage import materialise
 from .common import kept_columns, slices, small_batches, text_strings
 
 CAPACITY = 4096
-GRAIN = 8
+GRAIN = 16
 END_ID = 2
 #: Words whose ids a Python worker remembers; beyond it words are encoded each time.
 MEMORY_WORDS = 700_000
+#: The linear program is solved when it is this near to its bound, as a share.
+GAP = 5e-4
 #: Groups a length class is ranked in: this many, and one more for each SALT_ROWS rows.
 SALTS = 64
 SALT_ROWS = 500_000
@@ -211,7 +213,8 @@ def solve_patterns(
         prices[:] = 0
         prices[classes] = inverse.sum(axis=0)
         column = knapsack(prices, capacity)[classes].astype(float)
-        if prices[classes] @ column <= 1 + tolerance:
+        worth, rolls = prices[classes] @ column, float(x.sum())
+        if worth <= 1 + tolerance or rolls - rolls / worth <= max(0.5, GAP * rolls):
             break
         direction = inverse @ column
         ratio = np.where(direction > 1e-11, x / np.where(direction > 1e-11, direction, 1), np.inf)
