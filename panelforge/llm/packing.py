@@ -25,6 +25,7 @@ import functools
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ from .common import kept_columns, slices, small_batches, text_strings
 CAPACITY = 4096
 GRAIN = 16
 END_ID = 2
-#: Words whose ids a Python worker remembers; beyond it words are encoded each time.
+#: Chunks and plain words whose ids a Python worker remembers; others are encoded each time.
+MEMORY_CHUNKS = 300_000
 MEMORY_WORDS = 700_000
 #: The linear program is solved when it is this near to its bound, as a share.
 GAP = 5e-4
@@ -60,9 +62,9 @@ class WordEncoder:
     punctuation after them at most, are put together from their two parts.
     """
 
-    _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?-@\[-`{-~]*)")
+    _PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?-@\[-`{-~]*)$", re.M)
 
-    def __init__(self, path: str, memory: int = MEMORY_WORDS):
+    def __init__(self, path: str, chunks: int = MEMORY_CHUNKS, words: int = MEMORY_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,8 +72,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.memory = memory
+        self.parts: dict[str, bytes] = {"": b""}
+        self.limits = chunks, words
         #: Ids that close a word; every run of letters ends in exactly one of them.
         self.closing = np.zeros(self.tokenizer.get_vocab_size() + 8, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -107,25 +109,21 @@ class WordEncoder:
         known = self.known
         new = [c for c in wanted if c not in known]
         if new:
-            room = len(known) < self.memory
+            room = len(known) < self.limits[0]
             target = known if room else {c: known[c] for c in wanted if c in known}
-            split, rest, words, marks = {}, [], set(), set()
-            for c in new:
-                if m := self._PLAIN.fullmatch(c):
-                    a, b = m.groups()
-                    split[c] = a, b = a.lower(), b
-                    if a not in self.parts:
-                        words.add(a)
-                    if b and b not in self.parts:
-                        marks.add(b)
-                else:
-                    rest.append(c)
-            parts = self.parts if len(self.parts) < self.memory else dict(self.parts)
-            listed, other = list(words), list(marks)
+            pairs = self._PLAIN.findall("\n".join(new))
+            plain = [a + b for a, b in pairs]
+            lowered = [a.lower() for a, _ in pairs]
+            marks = [b for _, b in pairs]
+            rest = list(set(new).difference(plain))
+            parts = self.parts
+            words, signs = set(lowered).difference(parts), set(marks).difference(parts)
+            if len(parts) >= self.limits[1]:
+                parts = {w: parts[w] for w in chain(lowered, marks) if w in parts}
+            listed, other = list(words), list(signs)
             parts.update(zip(listed, self._encode_words(listed)))
             parts.update(zip(other, self._encode(other)))
-            for c, (a, b) in split.items():
-                target[c] = parts[a] + parts[b] if b else parts[a]
+            target.update(zip(plain, [parts[a] + parts[b] for a, b in zip(lowered, marks)]))
             target.update(zip(rest, self._encode(rest)))
             known = target
         get = known.__getitem__
