@@ -1,99 +1,221 @@
-"""Substring dedup by hashing lines: the earliest ranked copy of a unit stays.
-
-A unit is a line of at least ``MIN_WORDS`` words. It is normalised (lower case, one
-space between words) and digested to 128 bits. Digests are counted over the whole
-corpus; units that occur once drop out before anything is compared, and of the
-others the earliest by (document id, text hash, place) stays. The rest are cut from
-the texts with the line feed before them, and their original offsets are kept.
-
-Digests are pre-aggregated before the shuffle, and what is gathered for a unit is
-only its earliest place, so a line that a third of all documents share costs no
-more than any other.
+"""Substring dedup by hashing lines and passages: the earliest ranked copy of a unit stays.
+
+Units of a text, normalised to lower case and one space between words:
+* every line of at least ``LINE_WORDS`` words, and the whole text if it is that long;
+* passages of ``GRAM`` words wherever they stand, chosen by content: of each
+  ``SPREAD`` neighbouring passages the one with the smallest hash (winnowing), so a run
+  of ``GRAM + SPREAD - 1`` words that occurs twice is sure to hold a chosen passage in
+  both places. Line hashing alone misses what is pasted into the middle of a line.
+
+1. Hashes of all units are counted over the whole corpus; only hashes move, summed
+   for each batch first.
+2. Those that occur twice or more go into a Bloom filter of bounded size; a second read
+   gives out the units it holds, with 128-bit digests and offsets. A full filter
+   gives out more of them and changes no result.
+3. For each digest the earliest place by (document id, text hash, place) is kept, which
+   is all that is gathered for a unit, however many share it. The other occurrences are
+   cut from the texts; their original offsets are returned.
+
+What is cut from a text is in an earlier place of the corpus. Passages next to one
+another overlap, so a repeated run is cut whole but for at most ``SPREAD - 1`` words at
+either end. A line of which nothing is left goes with its line feed.
 
 Defined cases: a null text stays null; rows equal in id and text are one document
-listed twice; a null id ranks first; a document all of whose units are later copies
-keeps an empty text; extra columns are ignored.
+listed twice; a null id ranks first; a document that is a later copy keeps an empty
+text; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from .common import kept_columns, small_batches, text_strings
-
-MIN_WORDS = 25
-
-def units_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, bytes]]:
-    """(unit number, start, end, digest) of the long enough lines; offsets in code points."""
-    out, start = [], 0
-    for k, line in enumerate(text.split("\n")):
-        words = line.split()
-        if len(words) >= min_words:
-            normal = " ".join(words).lower().encode()
-            out.append((k, start, start + len(line), hashlib.blake2b(normal, digest_size=16).digest()))
-        start += len(line) + 1
-    return out
+from .bloom import Bloom, bloom_of
+from .common import kept_columns, slices, small_batches, text_strings
+
+LINE_WORDS = 25
+GRAM, SPREAD = 40, 12
+
+_WORD = re.compile(r"\S+")
+#: Odd multipliers of the two rolling hashes.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` and of its inverse modulo 2 ** 64, at least ``n`` of each."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size = max(4096, 2 * n)
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(size, b, np.uint64)
+            steps[0] = 1
+            both.append(np.cumprod(steps, dtype=np.uint64))
+        _POWERS[base] = (both[0], both[1])
+    return _POWERS[base]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+class Rolled:
+    """Hashes of any stretch of a text's words, in constant time each."""
+
+    def __init__(self, words: list[str]):
+        x = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        self.n, self.sums = len(words), []
+        for base in _BASES:
+            up, down = _powers(base, self.n + 1)
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * down[: self.n], dtype=np.uint64)))
+            self.sums.append((total, up))
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+        total, up = self.sums[which]
+        return _mixed((total[ends] - total[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+
+
+def _sliding(a: np.ndarray, width: int, f) -> np.ndarray:
+    """``f`` (minimum or maximum) over each ``width`` neighbours."""
+    span = 1
+    while 2 * span <= width:
+        a = f(a[:-span], a[span:]) if len(a) > span else a[:0]
+        span *= 2
+    rest = width - span
+    return f(a[: len(a) - rest], a[rest:]) if rest and len(a) > rest else a if not rest else a[:0]
+
+
+def chosen(h: np.ndarray, spread: int) -> np.ndarray:
+    """Places that hold the smallest hash of some ``spread`` neighbours."""
+    if len(h) <= spread:
+        return np.flatnonzero(h == h.min()) if len(h) else np.zeros(0, np.int64)
+    low = _sliding(h, spread, np.minimum)
+    edge = np.zeros(spread - 1, np.uint64)
+    return np.flatnonzero(_sliding(np.concatenate((edge, low, edge)), spread, np.maximum) == h)
+
+
+def units_of(text: str, line_words: int, gram: int, spread: int) -> tuple[Rolled, np.ndarray, np.ndarray]:
+    """(hashes, first word, word after the last) of a text's units."""
+    counts = [len(line.split()) for line in text.split("\n")]
+    rolled = Rolled(text.lower().split())
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    long = ends - starts >= line_words
+    starts, ends = starts[long], ends[long]
+    if rolled.n >= line_words and len(counts) > 1:
+        starts, ends = np.append(starts, 0), np.append(ends, rolled.n)
+    if rolled.n >= gram:
+        at = np.arange(rolled.n - gram + 1)
+        at = chosen(rolled.hashes(at, at + gram), spread)
+        starts, ends = np.concatenate((starts, at)), np.concatenate((ends, at + gram))
+    return rolled, starts.astype(np.int64), ends.astype(np.int64)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` without whole lines at ``spans`` (sorted) and the line feeds that set them off."""
-    kept, at = [], 0
-    for start, end in spans:
-        if start > at:
-            kept.append(text[at : start - 1])
-        at = end + 1
-    if at <= len(text):
-        kept.append(text[at:])
+    """``text`` without ``spans``; a line of which nothing is left goes with its line feed."""
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    kept, start, k = [], 0, 0
+    for line in text.split("\n"):
+        end, at, parts = start + len(line), start, []
+        while k < len(merged) and merged[k][0] < end:
+            a, b = max(merged[k][0], start), min(merged[k][1], end)
+            if a < b:
+                parts.append(text[at:a])
+                at = b
+            if merged[k][1] > end:
+                break
+            k += 1
+        while k < len(merged) and merged[k][1] <= end:
+            k += 1
+        if at == start:
+            kept.append(line)
+        else:
+            parts.append(text[at:end])
+            left = " ".join(filter(None, (p.strip(" ") for p in parts)))
+            if left:
+                kept.append(left)
+        start = end + 1
     return "\n".join(kept)
 
 
-def _key(text):
-    return F.xxhash64(text)
+def repeated_hashes(docs: DataFrame, line_words: int, gram: int, spread: int) -> DataFrame:
+    """h: unit hashes that occur more than once over all documents."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = []
+                for text in text_strings(part):
+                    rolled, starts, ends = units_of(text, line_words, gram, spread)
+                    found.append(rolled.hashes(starts, ends))
+                h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), [])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "n"]
+                )
 
-def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, key, unit, start, end, digest."""
-    small_batches(docs.sparkSession)
+    counted = docs.select("text").mapInArrow(count, "h long, n int")
+    return counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+
+
+_UNIT = "doc_id long, key long, first long, start long, end long, a long, b long"
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def unit_table(docs: DataFrame, repeated: Bloom, line_words: int, gram: int, spread: int) -> DataFrame:
+    """The units the filter holds: place, offsets in code points, two hashes."""
+    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = [], []
-            for i, text in enumerate(text_strings(batch)):
-                units = units_of(text, min_words)
-                found += units
-                rows += [i] * len(units)
-            columns = list(zip(*found)) or [(), (), (), ()]
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("key").take(take),
-                 *[pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()])]],
-                names=["doc_id", "key", "unit", "start", "end", "digest"],
-            )
+            for part in slices(batch):
+                rows, columns = [], [[] for _ in range(5)]
+                for i, text in enumerate(text_strings(part)):
+                    rolled, starts, ends = units_of(text, line_words, gram, spread)
+                    a = rolled.hashes(starts, ends)
+                    hit = shared.value.holds(a)
+                    if not hit.any():
+                        continue
+                    starts, ends, a = starts[hit], ends[hit], a[hit]
+                    words = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
+                    values = [starts, words[starts, 0], words[ends - 1, 1], a.view(np.int64), rolled.hashes(starts, ends, 1).view(np.int64)]
+                    for c, v in zip(columns, values):
+                        c.append(v)
+                    rows.append(np.full(len(starts), i))
+                take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(take), part.column("key").take(take),
+                     *[pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in columns]],
+                    names=[x.split()[0] for x in _UNIT.split(", ")],
+                )
 
-    return docs.select("doc_id", "text", _key("text").alias("key")).mapInArrow(
-        split, "doc_id long, key long, unit long, start long, end long, digest binary"
-    )
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(give, _UNIT)
 
 
 def later_copies(units: DataFrame) -> DataFrame:
     """The units that are not the earliest of their digest."""
-    place = F.struct("doc_id", "key", "unit")
-    repeated = units.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    again = units.join(repeated, "digest")
-    first = again.groupBy("digest").agg(F.min(place).alias("first"))
-    return again.join(first, "digest").where(place > F.col("first"))
+    place = F.struct("doc_id", "key", "first")
+    first = units.groupBy("a", "b").agg(F.min(place).alias("earliest"))
+    return units.join(first, ["a", "b"]).where(place > F.col("earliest"))
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text, n_units, n_removed, removed (start:end of what went, comma-joined)."""
+def dedup_substrings(docs: DataFrame, line_words: int = LINE_WORDS, gram: int = GRAM, spread: int = SPREAD) -> DataFrame:
+    """doc_id, text, n_removed (units), removed (start:end of what went, merged, comma-joined)."""
+    small_batches(docs.sparkSession)
     docs = kept_columns(docs, ["doc_id", "text"])
-    units = materialise(unit_table(docs, min_words), "units")
+    repeated = bloom_of(materialise(repeated_hashes(docs, line_words, gram, spread), "unit-hashes"))
+    units = materialise(unit_table(docs, repeated, line_words, gram, spread), "units")
     spans = (
         later_copies(units)
         .groupBy("doc_id", "key")
@@ -101,7 +223,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .select(F.col("doc_id").alias("cut_doc"), F.col("key").alias("cut_key"), "spans")
         .hint("shuffle_hash")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("cut_doc")) & (_key("text") == F.col("cut_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("cut_doc")) & (F.xxhash64("text") == F.col("cut_key"))
     joined = docs.join(spans, same, "left").select("doc_id", "text", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,18 +231,17 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             out: list[tuple] = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 pairs = [(s["start"], s["end"]) for s in spans or []]
-                out.append(
-                    (text if text is None or not pairs else cut(text, pairs),
-                     0 if text is None else text.count("\n") + 1, len(pairs),
-                     ",".join(f"{a}:{b}" for a, b in pairs))
-                )
-            columns = list(zip(*out)) or [(), (), (), ()]
-            types = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+                merged: list[list[int]] = []
+                for a, b in pairs:
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, b])
+                out.append((cut(text, pairs) if pairs else text, len(pairs), ",".join(f"{a}:{b}" for a, b in merged)))
+            columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types)]],
-                names=["doc_id", "text", "n_units", "n_removed", "removed"],
+                [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.string()])]],
+                names=["doc_id", "text", "n_removed", "removed"],
             )
 
-    return joined.mapInArrow(
-        apply, "doc_id long, text string, n_units long, n_removed long, removed string"
-    )
+    return joined.mapInArrow(apply, "doc_id long, text string, n_removed long, removed string")

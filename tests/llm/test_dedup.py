@@ -1,12 +1,16 @@
 """Line and substring dedup against brute force."""
 
+import re
+
 import hypothesis.strategies as st
+import numpy as np
 import pytest
 from fixtures import corpus, documents, empty
 from hypothesis import given, settings
 
 from panelforge.llm import line_dedup as ld
 from panelforge.llm import substring as sub
+from panelforge.llm.bloom import bloom_of
 
 
 def order(rows):
@@ -91,49 +95,62 @@ def test_the_order_of_ranks_is_that_of_suffixes(spark):
     assert all(len(v) == 1 for v in by_rank.values()) and len(by_rank) == 3
 
 
-def brute_units(rows, min_words):
+def brute_units(rows, line_words, gram, spread):
+    """Spans of later copies by the module's own units, ranked one document after another."""
     seen, out = set(), {}
     for doc, text in rows:
         if text is None:
             out[doc, text] = None
             continue
-        keep = []
-        for line in text.split("\n"):
-            w = line.split()
-            normal = " ".join(w).lower()
-            if len(w) >= min_words:
-                if normal in seen:
-                    continue
-                seen.add(normal)
-            keep.append(line)
-        out[doc, text] = "\n".join(keep)
+        words = text.lower().split()
+        places = [m.span() for m in re.finditer(r"\S+", text)]
+        _, starts, ends = sub.units_of(text, line_words, gram, spread)
+        spans = []
+        for a, b in sorted(set(zip(starts.tolist(), ends.tolist()))):
+            unit = tuple(words[a:b])
+            if unit in seen:
+                spans.append((places[a][0], places[b - 1][1]))
+            seen.add(unit)
+        out[doc, text] = sub.cut(text, spans) if spans else text
     return out
 
 
-@pytest.mark.parametrize("min_words", [1, 10, 25])
-def test_substring_dedup_is_brute_force(spark, min_words):
-    got = sub.dedup_substrings(documents(spark, UNIQUE), min_words).collect()
-    want = brute_units(order(UNIQUE), min_words)
-    originals = dict(UNIQUE)
+PASTED = [(60 + i, f"own{i} words here " + " ".join(f"p{k}" for k in range(60)) + f" more{i} of it\nand a line{i}") for i in range(4)]
+
+
+@pytest.mark.parametrize("line_words,gram,spread", [(25, 40, 12), (5, 8, 4), (10**6, 8, 1), (5, 10**6, 1)])
+def test_substring_dedup_is_brute_force(spark, line_words, gram, spread):
+    rows = UNIQUE + PASTED
+    got = sub.dedup_substrings(documents(spark, rows), line_words, gram, spread).collect()
+    want = brute_units(order(rows), line_words, gram, spread)
+    originals = dict(rows)
     for r in got:
-        text = originals[r["doc_id"]]
-        assert r["text"] == want[r["doc_id"], text]
-        for span in filter(None, r["removed"].split(",")):
-            a, b = map(int, span.split(":"))
-            assert "\n" not in text[a:b] and len(text[a:b].split()) >= min_words
+        assert r["text"] == want[r["doc_id"], originals[r["doc_id"]]]
+
+
+def test_passages_inside_lines_are_cut_but_for_their_ends(spark):
+    got = {r["doc_id"]: r for r in sub.dedup_substrings(documents(spark, PASTED)).collect()}
+    passage = PASTED[0][1].split()[3:63]
+    assert got[60]["text"] == PASTED[0][1]
+    for i in (61, 62, 63):
+        left = got[i]["text"].split()
+        assert len(set(left) & set(passage)) <= 22 and {f"own{i - 60}", f"more{i - 60}", f"line{i - 60}"} <= set(left)
+        a, b = map(int, got[i]["removed"].split(":"))
+        assert set(PASTED[i - 60][1][a:b].split()) <= set(passage)
 
 
 def test_substring_dedup_of_odd_rows(spark):
     got = sub.dedup_substrings(documents(spark)).collect()
     assert len(got) == len(corpus()) and len({r["text"] for r in got if r["doc_id"] == 2}) == 1
+    assert [r["text"] for r in got if r["doc_id"] == 44] == [None]
     assert sub.dedup_substrings(empty(spark)).collect() == []
-    long = " ".join(["word"] * 60)
-    two = sub.dedup_substrings(documents(spark, [(1, long), (2, "head\n" + long.upper() + "\ntail")])).collect()
-    assert {r["doc_id"]: r["text"] for r in two} == {1: long, 2: "head\ntail"}
+    long = " ".join(f"word{i}" for i in range(30))
+    two = sub.dedup_substrings(documents(spark, [(1, long), (2, "head\n" + long.upper() + "\ntail"), (3, long)])).collect()
+    assert {r["doc_id"]: r["text"] for r in two} == {1: long, 2: "head\ntail", 3: ""}
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text("ab ", max_size=4), min_size=1, max_size=8), st.data())
+@given(st.lists(st.text("ab", min_size=1, max_size=4), min_size=1, max_size=8), st.data())
 def test_cut_removes_whole_lines(lines, data):
     dead = data.draw(st.sets(st.integers(0, len(lines) - 1)))
     spans, at = [], 0
@@ -142,3 +159,30 @@ def test_cut_removes_whole_lines(lines, data):
             spans.append((at, at + len(line)))
         at += len(line) + 1
     assert sub.cut("\n".join(lines), spans) == "\n".join(x for i, x in enumerate(lines) if i not in dead)
+    whole = "\n".join(lines)
+    assert sub.cut(whole, [(0, len(whole))]) == ""
+
+
+def test_cut_inside_lines():
+    assert sub.cut("a bb c\nd e", [(2, 4)]) == "a c\nd e"
+    assert sub.cut("a bb c\nd e", [(2, 8), (7, 8)]) == "a\ne"
+    assert sub.cut("a b c d", [(0, 1), (4, 5)]) == "b d"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=40), st.integers(1, 9))
+def test_winnowing_picks_one_in_every_window(values, spread):
+    h = np.array(values, np.uint64)
+    picked = set(sub.chosen(h, spread).tolist())
+    for j in range(max(1, len(values) - spread + 1)):
+        window = range(j, min(len(values), j + spread))
+        least = min(values[i] for i in window)
+        assert {i for i in window if values[i] == least} <= picked
+    assert all(any(values[i] == min(values[j : j + spread]) for j in range(max(0, i - spread + 1), i + 1)) for i in picked)
+
+
+def test_bloom_holds_what_it_was_built_from(spark):
+    h = np.random.default_rng(0).integers(0, 2**63, 2000, dtype=np.uint64)
+    b = bloom_of(spark.createDataFrame([(int(x),) for x in h.view(np.int64)], "h long"))
+    assert b.holds(h).all() and b.holds(h + np.uint64(1)).mean() < 0.05
+    assert not bloom_of(spark.createDataFrame([], "h long")).holds(h).any()
