@@ -738,6 +738,30 @@ def page_link_scrape(spark, sf):
     return pages.link_counts(v.table(spark, sf, "pages"))
 
 
+@query(o.sql("SELECT d AS event FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) a WHERE year(d) IN (SELECT year(d) FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) b GROUP BY 1 HAVING count(*) BETWEEN 300 AND 366)"))
+def page_date_scrape(spark, sf):
+    """A calendar page for each customer, with a statement link for each order."""
+    link = F.concat(F.lit('<a href="/newsevents/monetary'), F.date_format("o_orderdate", "yyyyMMdd"), F.lit('a.htm">Statement</a>'))
+    made = v.table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(link), " ").alias("html"))
+    return pages.accepted_years(pages.statement_dates(made), 300, 366)
+
+
+@query(o.sql("SELECT date, ticker, s[1] AS q10, s[2] AS q20, s[3] AS q30 FROM (SELECT date, ticker, list_sort([q30, q10, q20]) AS s FROM prd) x"))
+def quantiles_sorted(spark, sf):
+    p = v.preds(spark, sf).select(*KEY, F.col("q30").alias("q10"), F.col("q10").alias("q20"), F.col("q20").alias("q30"))
+    return scoring.sorted_quantiles(p, [0.1, 0.2, 0.3])
+
+
+@query(o.sql("SELECT model, count(*) AS n FROM (SELECT 'zero' AS model UNION ALL SELECT 'ridge' UNION ALL SELECT 'ridge') t GROUP BY 1"))
+def predictions_round_trip(spark, sf):
+    """Predictions written by model and read back, absent models skipped."""
+    from ..functions.storage import shared_folder
+
+    folder = f"{shared_folder(spark)}/panelforge/round-trip"
+    runner.save_predictions(spark.createDataFrame([("zero", 0.1), ("ridge", 0.2), ("ridge", 0.3)], "model string, q50 double"), folder)
+    return runner.load_predictions(spark, folder, ["zero", "ridge", "gbm"]).groupBy("model").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _FOUND.items()}
 
