@@ -75,7 +75,7 @@ class Ftrl:
 
     def learn(self, places: np.ndarray, values: np.ndarray, label: float) -> None:
         at = np.append(places, len(self.n) - 1)
-        x = np.append(values, 1.0)
+        x = np.append(values.astype(float), 1.0)
         w = self.weights(at)
         g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
         sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA
@@ -113,10 +113,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS)
         hashed, "order long, doc_id long, label int, places binary, values binary"
     ).collect()
     rows.sort(key=lambda r: (r["order"], r["doc_id"], bytes(r["places"])))
-    return [
-        (r["label"], np.frombuffer(r["places"], "<i4").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float))
-        for r in rows
-    ]
+    return [(r["label"], np.frombuffer(r["places"], "<i4"), np.frombuffer(r["values"], "<f4")) for r in rows]
 
 
 def train(rows: list, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
