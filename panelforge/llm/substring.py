@@ -121,24 +121,19 @@ def units_of(text: str, line_words: int, gram: int, spread: int) -> tuple[Rolled
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without ``spans``; a line of which nothing is left goes with its line feed."""
-    merged: list[list[int]] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
+    spans = merged(spans)
     kept, start, k = [], 0, 0
     for line in text.split("\n"):
         end, at, parts = start + len(line), start, []
-        while k < len(merged) and merged[k][0] < end:
-            a, b = max(merged[k][0], start), min(merged[k][1], end)
+        while k < len(spans) and spans[k][0] < end:
+            a, b = max(spans[k][0], start), min(spans[k][1], end)
             if a < b:
                 parts.append(text[at:a])
                 at = b
-            if merged[k][1] > end:
+            if spans[k][1] > end:
                 break
             k += 1
-        while k < len(merged) and merged[k][1] <= end:
+        while k < len(spans) and spans[k][1] <= end:
             k += 1
         if at == start:
             kept.append(line)
@@ -170,48 +165,88 @@ def repeated_hashes(docs: DataFrame, line_words: int, gram: int, spread: int) ->
     return counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-_UNIT = "doc_id long, key long, first long, start long, end long, a long, b long"
+_UNIT = "doc_id long, key long, first long, start long, end long, a long, b long, again boolean"
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with those that overlap or touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def unit_table(docs: DataFrame, repeated: Bloom, line_words: int, gram: int, spread: int) -> DataFrame:
-    """The units the filter holds: place, offsets in code points, two hashes."""
+    """The units the filter holds: place, offsets in code points, two hashes.
+
+    Of units that recur inside one text only the first is given to be ranked; the
+    others are later copies whatever else the corpus holds and come merged, as ``again``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
+    names = [x.split()[0] for x in _UNIT.split(", ")]
+
+    def units(text: str) -> list[np.ndarray]:
+        """first, start, end, a, b, again."""
+        rolled, starts, ends = units_of(text, line_words, gram, spread)
+        a = rolled.hashes(starts, ends)
+        hit = shared.value.holds(a)
+        if not hit.any():
+            return []
+        starts, ends, a = starts[hit], ends[hit], a[hit]
+        b = rolled.hashes(starts, ends, 1)
+        order = np.lexsort((starts, b, a))
+        starts, ends, a, b = starts[order], ends[order], a[order], b[order]
+        words = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
+        first, last = words[starts, 0], words[ends - 1, 1]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        place = np.r_[True, (starts[1:] != starts[:-1])] | new
+        again = np.array(merged(list(zip(first[~new & place].tolist(), last[~new & place].tolist()))), np.int64).reshape(-1, 2)
+        zeros = np.zeros(len(again), np.int64)
+        return [
+            np.concatenate(c)
+            for c in (
+                (starts[new], zeros), (first[new], again[:, 0]), (last[new], again[:, 1]),
+                (a[new].view(np.int64), zeros), (b[new].view(np.int64), zeros), (np.zeros(int(new.sum()), bool), zeros == 0),
+            )
+        ]
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows, columns = [], [[] for _ in range(5)]
+                rows, columns = [], []
                 for i, text in enumerate(text_strings(part)):
-                    rolled, starts, ends = units_of(text, line_words, gram, spread)
-                    a = rolled.hashes(starts, ends)
-                    hit = shared.value.holds(a)
-                    if not hit.any():
-                        continue
-                    starts, ends, a = starts[hit], ends[hit], a[hit]
-                    words = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
-                    values = [starts, words[starts, 0], words[ends - 1, 1], a.view(np.int64), rolled.hashes(starts, ends, 1).view(np.int64)]
-                    for c, v in zip(columns, values):
-                        c.append(v)
-                    rows.append(np.full(len(starts), i))
-                take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+                    if found := units(text):
+                        columns.append(found)
+                        rows.append(np.full(len(found[0]), i))
+                if not rows:
+                    continue
+                take = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(take), part.column("key").take(take),
-                     *[pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in columns]],
-                    names=[x.split()[0] for x in _UNIT.split(", ")],
-                )
+                    [part.column("doc_id").take(take), part.column("key").take(take), *[pa.array(np.concatenate(c)) for c in zip(*columns)]],
+                    names=names,
+                )
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(give, _UNIT)
 
 
 def later_copies(units: DataFrame) -> DataFrame:
-    """The units that are not the earliest of their digest."""
-    place = F.struct("doc_id", "key", "first")
-    first = units.groupBy("a", "b").agg(F.min(place).alias("earliest"))
-    return units.join(first, ["a", "b"]).where(place > F.col("earliest"))
+    """The units that are not the earliest of their digest.
+
+    The earliest are a table of their own, so that both sides of the join are plain
+    exchanges and the members of a hot digest can be split over tasks.
+    """
+    place, ranked = F.struct("doc_id", "key", "first"), units.where(~F.col("again"))
+    first = materialise(ranked.groupBy("a", "b").agg(F.min(place).alias("earliest")), "unit-firsts")
+    later = ranked.join(first, ["a", "b"]).where(place > F.col("earliest"))
+    wanted = ["doc_id", "key", "start", "end"]
+    return later.select(*wanted).unionByName(units.where("again").select(*wanted))
 
 
 def dedup_substrings(docs: DataFrame, line_words: int = LINE_WORDS, gram: int = GRAM, spread: int = SPREAD) -> DataFrame:
-    """doc_id, text, n_removed (units), removed (start:end of what went, merged, comma-joined)."""
+    """doc_id, text, n_removed (stretches), removed (start:end of each, comma-joined)."""
     small_batches(docs.sparkSession)
     docs = kept_columns(docs, ["doc_id", "text"])
     repeated = bloom_of(materialise(repeated_hashes(docs, line_words, gram, spread), "unit-hashes"))
@@ -230,14 +265,8 @@ def dedup_substrings(docs: DataFrame, line_words: int = LINE_WORDS, gram: int =
         for batch in batches:
             out: list[tuple] = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                pairs = [(s["start"], s["end"]) for s in spans or []]
-                merged: list[list[int]] = []
-                for a, b in pairs:
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                out.append((cut(text, pairs) if pairs else text, len(pairs), ",".join(f"{a}:{b}" for a, b in merged)))
+                gone = merged([(s["start"], s["end"]) for s in spans or []])
+                out.append((cut(text, gone) if gone else text, len(gone), ",".join(f"{a}:{b}" for a, b in gone)))
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.string()])]],
