@@ -93,8 +93,12 @@ def doubled(ranked: DataFrame, step: int) -> DataFrame:
 
 
 def later_members(ranked: DataFrame) -> DataFrame:
-    """Members of each interval but its earliest."""
-    first = ranked.groupBy("rank").agg(F.min(_place()).alias("first"))
+    """Members of each interval but its earliest.
+
+    The earliest are a table of their own, so that both sides of the join are plain
+    exchanges and a hot interval's members can be split over tasks.
+    """
+    first = materialise(ranked.groupBy("rank").agg(F.min(_place()).alias("first")), "line-firsts")
     return ranked.join(first, "rank").where(_place() > F.col("first")).select(*_DOC, "seq")
 
 
