@@ -398,7 +398,8 @@ def classes(prints: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     rooted = distinct.join(roots, distinct["fp"] == roots["v"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    rooted = materialise(rooted, "rooted")
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component")), "components")
     return rooted.join(least, "root").select("fp", "component", "root")
 
 
