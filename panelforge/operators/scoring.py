@@ -125,7 +125,7 @@ def daily_rank_ic(frame: DataFrame, pred: str, actual: str = "y", keys: Sequence
     both = frame.where(F.col(pred).isNotNull() & F.col(actual).isNotNull())
     ranked = both.withColumn("_p", average_rank(F.col(pred), *keys, "date")).withColumn("_a", average_rank(F.col(actual), *keys, "date"))
     days = ranked.groupBy(*keys, "date").agg(
-        correlation("_p", "_a").alias("ic"), F.count("*").alias("n"),
+        F.round(correlation("_p", "_a"), 12).alias("ic"), F.count("*").alias("n"),
         F.min("_p").alias("p0"), F.max("_p").alias("p1"), F.min("_a").alias("a0"), F.max("_a").alias("a1"),
     )
     return days.where((F.col("n") >= least) & (F.col("p0") < F.col("p1")) & (F.col("a0") < F.col("a1"))).select(*keys, "date", "ic", "n")

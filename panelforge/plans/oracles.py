@@ -215,7 +215,7 @@ CTE: dict[str, str] = {
     "unp": "SELECT date, ticker, y, level, q FROM (" + " UNION ALL ".join(f"SELECT date, ticker, y, {x}::DOUBLE AS level, {q} AS q FROM scr" for x, q in zip(LEVELS, Q)) + ")",
     "pit": f"SELECT *, {_PIT} AS pit FROM scr",
     "ic0": f"SELECT date, {rank('q50')} AS rp, {rank('y')} AS ra FROM scr",
-    "ic": "SELECT date, corr(rp, ra) AS ic, count(*) AS n FROM ic0 GROUP BY date HAVING count(*) >= 5 AND min(rp) < max(rp) AND min(ra) < max(ra)",
+    "ic": "SELECT date, round(corr(rp, ra), 12) AS ic, count(*) AS n FROM ic0 GROUP BY date HAVING count(*) >= 5 AND min(rp) < max(rp) AND min(ra) < max(ra)",
     "sig": f"SELECT *, {_MU} AS mu, q90 - q10 AS width0 FROM prd",
     "gat0": (
         "SELECT *, round(q90 - q10, 8) AS width, ((date - DATE '1995-01-02') * 7919 + CAST(substr(ticker, 2, 2) AS INTEGER) * 104729) % 10007 / 10007.0::DOUBLE AS noise FROM sig"
