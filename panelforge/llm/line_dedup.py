@@ -180,6 +180,36 @@ def dedup_lines(
     )
 
 
+#: The query's rows in DuckDB SQL, for documents whose ids are unique.
+ORACLE = f"""
+WITH l0 AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents WHERE text IS NOT NULL
+), l AS (
+  SELECT doc_id, line_no, trim(line, ' ') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS seq
+  FROM l0 WHERE trim(line, ' ') <> ''
+), w AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY seq) AS u FROM l
+), runs AS (
+  SELECT doc_id, seq, row_number() OVER (PARTITION BY t, u ORDER BY doc_id, seq) AS n FROM w WHERE u IS NOT NULL
+), singles AS (
+  SELECT doc_id, seq, row_number() OVER (PARTITION BY t ORDER BY doc_id, seq) AS n
+  FROM l WHERE length(t) - length(replace(t, ' ', '')) + 1 >= {LONG_LINE_WORDS}
+), dead AS (
+  SELECT doc_id, seq FROM runs WHERE n > 1 UNION SELECT doc_id, seq + 1 FROM runs WHERE n > 1
+  UNION SELECT doc_id, seq FROM singles WHERE n > 1
+), gone AS (SELECT l.doc_id, l.line_no FROM l JOIN dead d ON d.doc_id = l.doc_id AND d.seq = l.seq
+), kept AS (
+  SELECT a.doc_id, string_agg(a.line, chr(10) ORDER BY a.line_no) FILTER (WHERE g.line_no IS NULL) AS text,
+    count(*) AS n_lines, count(g.line_no) AS n_removed,
+    string_agg(CAST(g.line_no AS VARCHAR), ',' ORDER BY g.line_no) AS removed
+  FROM l0 a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.line_no = a.line_no GROUP BY a.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(k.n_lines, 0) AS n_lines,
+  coalesce(k.n_removed, 0) AS n_removed, coalesce(k.removed, '') AS removed
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with later copies of line runs cut from the texts; all rows and columns stay
     but those of documents of which nothing is left. ``n_chars`` follows the text."""

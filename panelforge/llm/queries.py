@@ -68,4 +68,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.ORACLE}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE,
+        "op4_chat_format": chat.ORACLE,
+        "op10_decontamination": decontam.ORACLE,
+    }
