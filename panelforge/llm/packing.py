@@ -205,16 +205,16 @@ def solve_patterns(
     columns = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(columns))
     basis = [columns[:, i].copy() for i in range(m)]
-    x = inverse @ need
+    x = need / np.diag(columns)
     prices = np.zeros(len(demand))
-    for step in range(rounds):
+    for _ in range(rounds):
         prices[:] = 0
         prices[classes] = inverse.sum(axis=0)
         column = knapsack(prices, capacity)[classes].astype(float)
-        worth, rolls = prices[classes] @ column, float(x.sum())
+        worth, rolls = float((prices[classes] * column).sum()), float(x.sum())
         if worth <= 1 + tolerance or rolls - rolls / worth <= max(0.5, GAP * rolls):
             break
-        direction = inverse @ column
+        direction = (inverse * column).sum(axis=1)  # no threads of a BLAS beside a running session
         ratio = np.where(direction > 1e-11, x / np.where(direction > 1e-11, direction, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
@@ -225,9 +225,6 @@ def solve_patterns(
         row = inverse[out] / direction[out]
         inverse = inverse - np.outer(direction, row)
         inverse[out] = row
-        if step % 200 == 199:
-            inverse = np.linalg.inv(np.array(basis).T)
-            x = np.maximum(inverse @ need, 0)
     plan: list[tuple[np.ndarray, int]] = []
     left = demand.astype(np.int64).copy()
     for column, amount in zip(basis, x):
