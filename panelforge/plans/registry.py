@@ -382,12 +382,11 @@ def ridge_gram(spark, sf):
 
 
 def _fitted(spark, sf, name: str, **settings) -> DataFrame:
-    """The last fold's test rows predicted by a model fitted on its training rows."""
+    """Every fold's test rows predicted, with all features, by a model fitted on its training rows."""
     from ..functions.storage import materialise
 
     d = materialise(ft.usable_rows(v.design(spark, sf), _DESIGN, 0.5), "design")
-    folds = _folds(spark, sf)[-1:]
-    return runner.run_walk_forward(d, ["reversal_1d", "reversal_5d", "rv_20d", "volume_z", "mkt_rv_20d", "vix_z_60d", "days_to_fomc"], folds, [name], {name: settings})
+    return runner.run_walk_forward(d, _DESIGN, _folds(spark, sf), [name], {name: settings})
 
 
 @query()
@@ -397,7 +396,7 @@ def ridge_predictions(spark, sf):
 
 @query()
 def gbm_quantiles(spark, sf):
-    return _fitted(spark, sf, "gbm", rounds=40, min_leaf=20)
+    return _fitted(spark, sf, "gbm")
 
 
 @query()

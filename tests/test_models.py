@@ -1,11 +1,16 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from panelforge.functions import storage
 from panelforge.functions.boosting import Booster
 from panelforge.operators import models
 from panelforge.operators.scoring import column_of
+from panelforge.plans import registry, views
 
+SF = "/root/testdata/sf0.01"
 DAYS = [d.date() for d in pd.bdate_range("2020-01-01", periods=100)]
 
 
@@ -82,3 +87,22 @@ def test_sequence_adapter(spark):
     actual = s.select("date", "ticker", (2 * s.resid).alias("y"))
     b = models.SequenceAdapter(echo, context=10).calibrate(raw, actual)
     assert b.b == 1.0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+@pytest.mark.parametrize("query, name", [("ridge_predictions", "ridge"), ("gbm_quantiles", "gbm")])
+def test_model_queries_run_every_fold_on_all_features(spark, monkeypatch, query, name):
+    asked = {}
+
+    def run(design, features, folds, names, settings=None):
+        asked.update(features=features, folds=folds, names=names, settings=settings or {})
+        return design
+
+    monkeypatch.setattr(registry.runner, "run_walk_forward", run)
+    monkeypatch.setattr(storage, "materialise", lambda df, tag: df)
+    registry.queries()[query](spark, SF)
+    assert asked["names"] == [name] and asked["folds"] == registry._folds(spark, SF) and len(asked["folds"]) == 10
+    assert sorted(asked["features"]) == sorted(views.design_features(views.design(spark, SF)))
+    if name == "gbm":
+        made = models.build_model(name, **asked["settings"].get(name, {}))
+        assert (made.settings["rounds"], made.settings["min_leaf"]) == (200, 200)
