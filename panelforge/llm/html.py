@@ -4,8 +4,11 @@ The parser's events are read once. A line is what stands between two block-level
 for each line the number of characters for each tag met since the line before is its
 text-to-tag ratio. Ratios are smoothed with a Gaussian, and lines whose smoothed ratio
 passes the threshold (the ratios' standard deviation) form clusters of content. The
-content region is the innermost container that holds most of the clusters' characters,
-and its lines are the text, short ones too.
+content region is the smallest container that covers every cluster and every h1, and
+its lines are the text, short ones too. Where there are article or main elements the
+region covers all of them; an h1 outside counts where none is inside, and a line outside
+where it passes the threshold by itself, not by its neighbours. Noise that no mark tells
+from content stays where it stands in the region.
 
 Lines inside menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments never count, by their tag, role, class or id. A header in an
@@ -34,8 +37,6 @@ from .common import kept_columns, slices, small_batches, text_strings
 
 SIGMA = 1.0
 RADIUS = 2
-#: Share of the content's characters that the region must hold.
-SHARE = 0.6
 
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -45,7 +46,7 @@ BLOCK = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
-CONTAINER = frozenset("article body div main section table td blockquote ul ol center".split())
+CONTAINER = frozenset("article body div main section table td center".split())
 SKIPPED = frozenset(
     "head script style noscript template iframe svg canvas object nav menu aside footer form button select "
     "textarea dialog".split()
@@ -94,11 +95,16 @@ class Lines(HTMLParser):
         self.left_out: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int, bool]] = []
+        #: Places of lines that stand in an h1, and containers that are marked articles.
+        self.headlines: set[int] = set()
+        self.marked: set[int] = set()
 
     def end_line(self) -> None:
         for parts, may in ((self.parts, True), (self.left_out, False)):
             if parts:
                 if text := " ".join("".join(parts).split()):
+                    if may and any(tag == "h1" for tag, _, _ in self.open):
+                        self.headlines.add(len(self.lines))
                     self.lines.append((text, self.tags, self.container, may))
                     self.tags = 0
                 parts.clear()
@@ -126,6 +132,8 @@ class Lines(HTMLParser):
             self.parents.append(self.container)
             self.kinds.append(tag)
             self.container = len(self.parents) - 1
+            if tag == "article" and _marked(attrs):
+                self.marked.add(self.container)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -181,21 +189,36 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) ->
     return np.convolve(np.pad(ratios, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
+def text_to_tags(lines: list[tuple[str, int, int, bool]]) -> np.ndarray:
+    return np.array([len(t) / max(1, tags) if may else 0.0 for t, tags, _, may in lines])
+
+
 def content_lines(lines: list[tuple[str, int, int, bool]]) -> np.ndarray:
     """Which lines belong to a cluster of content."""
-    ratios = np.array([len(t) / max(1, tags) if may else 0.0 for t, tags, _, may in lines])
+    ratios = text_to_tags(lines)
     may = np.array([m for _, _, _, m in lines], bool)
     found = (smoothed(ratios) > ratios.std()) & may
     return found if found.any() else may
 
 
 def region(reader: Lines, found: np.ndarray) -> int:
-    """The innermost container that holds most of the found lines' characters."""
-    inside = np.zeros(len(reader.parents))
-    lines = np.zeros(len(reader.parents), int)
-    for (text, _, c, may), content in zip(reader.lines, found):
+    """The smallest container that covers all that counts as content."""
+    own = [k in ("article", "main") and c not in reader.marked for c, k in enumerate(reader.kinds)]
+    for c, p in enumerate(reader.parents):
+        own[c] = own[c] or p >= 0 and own[p]
+    in_own = np.array([may and own[c] for _, _, c, may in reader.lines], bool)
+    headline = np.array([k in reader.headlines for k in range(len(in_own))], bool)
+    counts = found
+    if in_own.any():
+        ratios = text_to_tags(reader.lines)
+        counts = in_own | found & (ratios > ratios.std())
+    if not (headline & in_own).any():
+        counts = counts | headline
+    size = [len(line[0]) * bool(n) for line, n in zip(reader.lines, counts)]
+    inside, lines = [0] * len(reader.parents), [0] * len(reader.parents)
+    for (_, _, c, may), n in zip(reader.lines, size):
         while c >= 0:
-            inside[c] += len(text) * bool(content)
+            inside[c] += n
             lines[c] += may
             c = reader.parents[c]
     here, total = 0, inside[0]
@@ -204,7 +227,7 @@ def region(reader: Lines, found: np.ndarray) -> int:
         children.setdefault(p, []).append(c)
     while reader.kinds[here] not in ("article", "main"):
         best = max(children.get(here, []), key=lambda c: inside[c], default=-1)
-        if best < 0 or inside[best] < SHARE * total:
+        if best < 0 or inside[best] < total:
             break
         if lines[best] < 2 and lines[here] > 1 and reader.kinds[best] not in ("article", "main"):
             break

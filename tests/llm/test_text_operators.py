@@ -258,6 +258,31 @@ def test_main_text(page, text):
     assert html.main_text(page or "") == text
 
 
+LONG = "Words of a paragraph that goes on and on, so that its line is dense with text. "
+
+
+@pytest.mark.parametrize("page,lines", [
+    (f"<div id=content><h1>Head</h1><p>Intro.</p><div class=story><p>{LONG * 3}</p><p>{LONG * 2}</p><p>End.</p></div></div>", ["Head", "Intro.", LONG * 3, LONG * 2, "End."]),
+    (f"<body><section><p>{LONG * 7}</p><p>{LONG * 6}</p></section><section><p>{LONG * 4}</p><p>{LONG * 3}</p></section>", [LONG * 7, LONG * 6, LONG * 4, LONG * 3]),
+    (f"<body><article><p>{LONG * 7}</p><p>a</p></article><article><p>{LONG * 3}</p><p>b</p></article>", [LONG * 7, "a", LONG * 3, "b"]),
+    (f"<body><p>{LONG * 2}</p><ul><li>{LONG * 3}<li>{LONG * 3}</ul><p>{LONG}</p>", [LONG * 2, LONG * 3, LONG * 3, LONG]),
+    (f"<body><div class=lead><p>{LONG * 4}</p><p>{LONG * 3}</p></div><article><p>{LONG * 7}</p><p>{LONG * 6}</p></article>", [LONG * 4, LONG * 3, LONG * 7, LONG * 6]),
+    (f"<body><h1>Head</h1><article><p>{LONG * 3}</p><p>x</p></article>", ["Head", LONG * 3, "x"]),
+    (f"<body><p>Before.</p><ol><li>{LONG * 3}<li>{LONG * 3}<li>{LONG * 3}</ol><p>After.</p>", ["Before.", LONG * 3, LONG * 3, LONG * 3, "After."]),
+])
+def test_no_part_of_the_content_is_left(page, lines):
+    assert html.main_text(page) == "\n".join(x.strip() for x in lines)
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div>Unmarked line</div><div><article><p>{LONG * 3}</p><p>x</p></article></div><div>Other line</div>",
+    f"<body><article><p>{LONG * 3}</p><p>x</p></article><article class=comment><p>{LONG}</p></article>",
+    f"<body><div><h1>Site</h1></div><article><h1>{LONG * 3}</h1><p>x</p></article>",
+])
+def test_noise_outside_the_region_stays_out(page):
+    assert html.main_text(page) == (LONG * 3).strip() + "\nx"
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "<p>z", "z"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = html.extract(pages).collect()
