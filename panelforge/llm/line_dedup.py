@@ -9,7 +9,8 @@ among all such pairs in sorted order, taken from a range-partitioned sort of the
 distinct pairs, so that no group of equal pairs is ever gathered. Suffixes whose
 prefix occurs once are discarded on the way, as nothing longer can repeat there.
 Suffixes of equal rank after ``min_lines`` lines are the LCP intervals of at least
-that depth. Sorting deeper would not change the outcome: a repeated run of ``n``
+that depth. With ``min_lines`` of 2 that is one round of doubling; no LCP value and no
+maximal run is computed. Sorting deeper would not change the outcome: a repeated run of ``n``
 lines is the union of its ``n - min_lines + 1`` windows, each of which lies in such
 an interval, so the union of later windows is the union of the later maximal runs.
 
