@@ -9,9 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; texts are long, so a batch stays in the tens of MB.
-BATCH_ROWS = 1000
-#: Bytes of text handled at a time inside a batch.
+#: Bytes of text handled at a time inside an Arrow batch. Spark bounds the batch itself by
+#: ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless the session says otherwise).
 SLICE_BYTES = 8 << 20
 
 
@@ -19,13 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts small; a smaller setting of the user's stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from .common import kept_columns, small_batches, text_bytes
+from .common import kept_columns, text_bytes
 
 WINDOW = 13
 #: A document is contaminated when hits * SHARE >= words.
@@ -198,7 +198,6 @@ def _pass(state: DataFrame, index: dict, finish=None, schema=None) -> DataFrame:
 
 def _passes(docs: DataFrame, benchmark: DataFrame, finish, schema, window: int, limit: int) -> DataFrame:
     """All blocks' passes; between two of them the state is a table, so one index is held at a time."""
-    small_batches(docs.sparkSession)
     state = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("d"),
         F.lit(0).cast("long").alias("n"),

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from .common import kept_columns, slices, small_batches, text_bytes
+from .common import kept_columns, slices, text_bytes
 
 BLOCK = 192
 SMALLEST, LARGEST = 512, 8192
@@ -139,7 +139,6 @@ class Filter:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
     return kept_columns(docs, ["doc_id", "text"])
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from .common import kept_columns, slices, small_batches, text_strings
+from .common import kept_columns, slices, text_strings
 
 CAPACITY = 4096
 GRAIN = 16
@@ -146,7 +146,6 @@ def pieces_of(raw: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int]
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    small_batches(docs.sparkSession)
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

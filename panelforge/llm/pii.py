@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.boosting import Booster
-from .common import kept_columns, slices, small_batches, text_strings
+from .common import kept_columns, slices, text_strings
 
 #: Base kinds, in the order in which spans of one start are listed.
 BASE = ["email", "ip", "card", "phone"]
@@ -265,7 +265,6 @@ RESULT = (
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base kinds, digest of base spans, all spans."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(judge())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +284,6 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """doc_id and the text with personal data replaced by the names of its kinds."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(judge())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_columns, small_batches, text_bytes
+from .common import kept_columns, text_bytes
 
 BITS = 18
 SAMPLE_DOCS = 6000
@@ -132,7 +132,6 @@ def train(rows: list, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    small_batches(docs.sparkSession)
     return train(training_rows(kept_columns(docs, ["doc_id", "text"]), labels))
 
 
@@ -147,7 +146,6 @@ def score_texts(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
 
 def scored(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +166,6 @@ def scored(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -
 
 def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text scores ``threshold`` or more, all columns as they were."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from .common import small_batches, text_bytes
+from .common import text_bytes
 
 SEED = 42
 SHINGLE = 3
@@ -81,7 +81,6 @@ def fingerprint(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, key (a hash of the text), fp (the fingerprint, signed), for each row of ``docs``."""
-    small_batches(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
 from .bloom import Bloom, bloom_of
-from .common import kept_columns, slices, small_batches, text_strings
+from .common import kept_columns, slices, text_strings
 
 LINE_WORDS = 25
 GRAM, SPREAD = 40, 12
@@ -247,7 +247,6 @@ def later_copies(units: DataFrame) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, line_words: int = LINE_WORDS, gram: int = GRAM, spread: int = SPREAD) -> DataFrame:
     """doc_id, text, n_removed (stretches), removed (start:end of each, comma-joined)."""
-    small_batches(docs.sparkSession)
     docs = kept_columns(docs, ["doc_id", "text"])
     repeated = bloom_of(materialise(repeated_hashes(docs, line_words, gram, spread), "unit-hashes"))
     units = materialise(unit_table(docs, repeated, line_words, gram, spread), "units")
