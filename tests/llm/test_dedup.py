@@ -18,41 +18,57 @@ def order(rows):
     return sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
 
 
-def brute_lines(rows, min_lines, long_words):
-    seen, single, out = set(), set(), {}
+WHITE = " \t\r\x0b\x0c"
+
+
+def brute_lines(rows, min_lines):
+    seen, out = set(), {}
     for doc, text in rows:
         if text is None:
             out[doc, text] = None
             continue
         lines = text.split("\n")
-        at = [i for i, x in enumerate(lines) if x.strip(" ")]
+        at = [i for i, x in enumerate(lines) if x.strip(WHITE)]
         dead = set()
         for a in range(len(at) - min_lines + 1):
-            run = tuple(lines[i].strip(" ") for i in at[a : a + min_lines])
+            run = tuple(lines[i].strip(WHITE) for i in at[a : a + min_lines])
             if run in seen:
                 dead.update(at[a : a + min_lines])
             seen.add(run)
-        for i in at:
-            line = lines[i].strip(" ")
-            if line.count(" ") + 1 >= long_words:
-                if line in single:
-                    dead.add(i)
-                single.add(line)
         out[doc, text] = "\n".join(x for i, x in enumerate(lines) if i not in dead)
     return out
 
 
+def brute_longest(rows):
+    """Of each document the length of its longest run that begins at two places of the corpus."""
+    places = [(doc, text, tuple(x.strip(WHITE) for x in (text or "").split("\n") if x.strip(WHITE))) for doc, text in rows]
+    out = {}
+    for n in range(1, max((len(x) for *_, x in places), default=0) + 1):
+        seen = {}
+        for doc, text, lines in places:
+            for a in range(len(lines) - n + 1):
+                seen.setdefault(lines[a : a + n], []).append((doc, text))
+        for at in seen.values():
+            if len(at) > 1:
+                out.update(dict.fromkeys(at, n))
+    return out
+
+
 UNIQUE = [r for r in corpus() if r[0] not in (2, 3, None)] + [corpus()[2]]
 
 
 @pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
 def test_line_dedup_is_brute_force(spark, min_lines):
-    got = ld.dedup_lines(documents(spark, UNIQUE), min_lines, 50).collect()
-    want = brute_lines(order(UNIQUE), min_lines, 50)
-    assert len(got) == len(UNIQUE)
-    originals = dict(UNIQUE)
+    rows = [*UNIQUE, (70, "\tsame line here \r\nx"), (71, "p\nq\nr\np\nq\nr\np\nq"), (72, "q\nr\nz"), (73, "y\np\nq\nr\np\nw")]
+    got = ld.dedup_lines(documents(spark, rows), min_lines).collect()
+    want, longest = brute_lines(order(rows), min_lines), brute_longest(rows)
+    assert len(got) == len(rows)
+    originals = dict(rows)
     for r in got:
-        assert r["text"] == want[r["doc_id"], originals[r["doc_id"]]]
+        text = originals[r["doc_id"]]
+        assert r["text"] == want[r["doc_id"], text]
+        assert r["longest_run"] == longest.get((r["doc_id"], text), 0)
+        assert r["n_removed"] == len([x for x in r["removed"].split(",") if x])
 
 
 def test_line_dedup_of_odd_rows(spark):
@@ -63,13 +79,13 @@ def test_line_dedup_of_odd_rows(spark):
     assert len(twice) == 2 and len(set(twice)) == 1
     assert [r for r in got if r["doc_id"] == 44][0]["text"] is None
     assert ld.dedup_lines(empty(spark)).collect() == []
-    first = {line.strip(" ") for _, t in rows if t for line in t.split("\n")}
-    kept = {line.strip(" ") for r in got if r["text"] for line in r["text"].split("\n")}
+    first = {line.strip(WHITE) for _, t in rows if t for line in t.split("\n")}
+    kept = {line.strip(WHITE) for r in got if r["text"] for line in r["text"].split("\n")}
     assert first - {""} == kept - {""}  # no line is lost
 
 
 def test_line_dedup_keeps_columns_and_drops_emptied_documents(spark):
-    rows = [(1, "a b\nc d"), (2, "a b\nc d"), (3, "x\na b\nc d"), (4, ""), (5, None)]
+    rows = [(1, "a b\nc d"), (2, "a b\nc d"), (3, "x\na b\nc d"), (4, ""), (5, None), (6, "\t\nc d\n ")]
     got = {r["doc_id"]: r for r in ld.dedup_documents(documents(spark, rows)).collect()}
     assert set(got) == {1, 3, 4, 5} and got[3]["text"] == "x" and got[3]["n_chars"] == 1
     assert got[1].asDict().keys() == documents(spark, rows).first().asDict().keys()
@@ -77,22 +93,27 @@ def test_line_dedup_keeps_columns_and_drops_emptied_documents(spark):
 
 def test_hot_line_and_long_repeats(spark):
     rows = [(i, f"hot line\nown {i}\nhot line\nhot line") for i in range(200)] + [(300 + i, "\n".join(f"l{k}" for k in range(64))) for i in range(3)]
-    got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(documents(spark, rows, extra=False)).collect()}
-    want = brute_lines(order(rows), 2, 50)
-    assert all(got[d] == want[d, t] for d, t in rows) and got[301] == ""
-
-
-def test_the_order_of_ranks_is_that_of_suffixes(spark):
-    rows = [(0, "b\na\nb\na\nc"), (1, "a\nb\na\nc"), (2, "b\na")]
-    symbols = ld.line_symbols(documents(spark, rows, extra=False), 50)
-    ranked = ld.first_ranks(symbols)
-    two = ld.doubled(ranked.drop("line_no", "is_long"), 1)
-    names = {(r["doc_id"], r["seq"]): r["rank"] for r in two.collect()}
-    lines = dict(rows)
-    by_rank = {}
-    for (d, s), r in names.items():
-        by_rank.setdefault(r, set()).add(tuple(lines[d].split("\n")[s : s + 2]))
-    assert all(len(v) == 1 for v in by_rank.values()) and len(by_rank) == 3
+    got = {r["doc_id"]: r for r in ld.dedup_lines(documents(spark, rows, extra=False), 2).collect()}
+    want = brute_lines(order(rows), 2)
+    assert all(got[d]["text"] == want[d, t] for d, t in rows) and got[301]["text"] == ""
+    assert got[300]["longest_run"] == 64 and got[7]["longest_run"] == 2
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcd"), max_size=12), min_size=1, max_size=12))
+def test_the_suffix_array_and_its_lcps(spark, texts):
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    array = ld.common_prefixes(ld.suffix_array(ld.ranked_suffixes(documents(spark, rows, extra=False))))
+    got = array.orderBy("at").collect()
+    once = {c for c in "abcd" if sum(t.count(c) for t in texts) < 2}
+    assert sorted((r["doc_id"], r["seq"]) for r in got) == sorted((d, s) for d, t in enumerate(texts) for s, c in enumerate(t) if c not in once)
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    suffix = lambda r: texts[r["doc_id"]][r["seq"] :]
+    for a, b in zip(got, got[1:]):
+        assert b["lcp"] == common(suffix(a), suffix(b))
+    for k, r in enumerate(got):  # each suffix stands beside the one it shares most with
+        best = max((common(suffix(r), suffix(o)) for j, o in enumerate(got) if j != k), default=0)
+        assert best == max(r["lcp"], got[k + 1]["lcp"] if k + 1 < len(got) else 0)
 
 
 def brute_units(rows, line_words, gram, spread):
