@@ -54,34 +54,62 @@ def clustered(n=600, seed=0):
     return np.unique(np.concatenate([x, np.array(chain, np.uint64)]))
 
 
-def test_tree_finds_exactly_the_near_points():
+def near_pairs(x):
+    return {(i, int(j)) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 3)}
+
+
+def test_the_trees_of_both_halves_find_exactly_the_near_points():
     x = clustered()
-    got = {(q, int(p)) for q, found in sh.VantageTree(x, 8).linked(x) for p in found}
-    want = {(i, int(j)) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 3)}
-    assert got == want
+    got, compared = set(), 0
+    for half in sh.HALVES:
+        tree = sh.VantageTree(x, half, 8)
+        own = {(a, b) for q, p in tree.linked(x) for a, b in zip(q.tolist(), p.tolist())}
+        assert {(a, b) for a, b in near_pairs(x) if int(x[a] ^ x[b]) & int(half) in {0, *(1 << k for k in range(64))}} <= own
+        got |= own
+        compared += tree.compared
+    assert got == near_pairs(x)
+    assert compared < len(x) ** 2  # branches are pruned: both trees together do less than one look at all pairs
     same = np.full(200, 7, np.uint64)
-    assert sum(len(f) for _, f in sh.VantageTree(same, 8).linked(same)) == 200 * 200
+    assert sum(len(q) for q, _ in sh.VantageTree(same, sh.HALVES[0], 8).linked(same)) == 200 * 200
+    equal_half = np.arange(500, dtype=np.uint64) << np.uint64(32)  # one value on a half: distances on all bits divide it
+    tree = sh.VantageTree(equal_half, sh.HALVES[0], 8)
+    assert isinstance(tree.root, sh.Node) and {(a, b) for q, p in tree.linked(equal_half) for a, b in zip(q.tolist(), p.tolist())} == near_pairs(equal_half)
 
 
-def test_router_overlaps_hold_every_near_point():
+def test_shards_overlap_where_a_ball_does():
     x = clustered()
-    r = sh.Router(x[::4], 8)
-    home = {int(i): piece for piece, at in r.route(x, 0) for i in at}
-    asked = {}
-    for piece, at in r.route(x, 3):
-        for i in at:
-            asked.setdefault(int(i), set()).add(piece)
-    assert len(home) == len(x) and r.leaves > 1
-    for i in range(len(x)):
-        for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 3):
-            assert home[int(j)] in asked[i]
+    found = set()
+    for half in sh.HALVES:
+        r = sh.Router(x[::4], half, 8)
+        home = {int(i): shard for shard, at in r.route(x, False) for i in at}
+        asked = {}
+        for shard, at in r.route(x, True):
+            for i in at:
+                asked.setdefault(int(i), set()).add(shard)
+        assert len(home) == len(x) and r.shards > 4
+        assert any(len(a) > 1 for a in asked.values()) and any(len(a) < r.shards for a in asked.values())
+        found |= {(i, j) for i, j in near_pairs(x) if home[j] in asked[i]}
+    assert found == near_pairs(x)
+
+
+def test_a_shard_streams_its_queries(monkeypatch):
+    monkeypatch.setattr(sh, "ASKED", 50)
+    x = clustered(200, 4)
+    for half in sh.HALVES:
+        shard = sh.Shard(half)
+        for a in range(0, 100, 7):
+            shard.add(x[:100][a : a + 7])
+        for a in range(0, len(x), 13):
+            shard.ask(x[a : a + 13])
+        a, b = shard.edges()
+        assert shard.asked == len(x) and len(a) <= len(x) + 100
+        assert (np.bitwise_count(a ^ b) >= 0).all() and not (a == b).any()
 
 
 @pytest.mark.parametrize("shard_rows", [50_000, 20])
-def test_components_are_brute_force(spark, shard_rows, monkeypatch):
-    monkeypatch.setattr(sh, "SAMPLE", 16)
+def test_components_are_brute_force(spark, shard_rows):
     x = clustered(300, 2)
-    x[: len(x) // 3] = (x[: len(x) // 3] & np.uint64(0xFFFFFFFFFFFF0000)) | np.uint64(0x1234)  # a hot shard
+    x[: len(x) // 3] = (x[: len(x) // 3] & np.uint64(0xFFFFFFFF00000000)) | np.uint64(0x1234)  # one value on a half
     x = np.unique(x)
     rows = [(int(i), int(v)) for i, v in enumerate(x.view(np.int64))]
     prints = spark.createDataFrame(rows, "doc_id long, fp long")
@@ -94,6 +122,16 @@ def test_components_are_brute_force(spark, shard_rows, monkeypatch):
     assert got == {v: least[root] for v, root in want.items()}
 
 
+def test_the_search_prunes(spark):
+    x = np.unique(np.random.default_rng(5).integers(0, 2**63, 4000, dtype=np.uint64))
+    prints = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    work = sh.search_work(prints, 256).collect()
+    assert len(work) > 16 and sum(r["points"] for r in work) == 2 * len(x)
+    assert max(r["points"] for r in work) < 4 * 256
+    assert sum(r["compared"] for r in work) < 0.35 * len(x) ** 2
+    assert sum(r["queries"] for r in work) > 2 * len(x)  # balls that overlap a boundary ask on both sides
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = corpus()
     got = sh.near_duplicates(documents(spark)).collect()
