@@ -13,9 +13,9 @@ LEAST_BITS, MOST_BITS, BITS_EACH, PROBES = 1 << 16, 1 << 24, 16, 4
 _ODD = [np.uint64(2 * k + 0x9E3779B97F4A7C15) for k in (0, 1 << 40, 1 << 50, 1 << 60)][:PROBES]
 
 
-def _places(h: np.ndarray, bits: int) -> np.ndarray:
+def _places(h: np.ndarray, bits: int, probe: int) -> np.ndarray:
     shift = np.uint64(64 - int(bits).bit_length() + 1)
-    return np.stack([((h ^ (h >> np.uint64(31))) * odd) >> shift for odd in _ODD], axis=1).astype(np.int64)
+    return (((h ^ (h >> np.uint64(31))) * _ODD[probe]) >> shift).astype(np.int64)
 
 
 class Bloom:
@@ -25,21 +25,25 @@ class Bloom:
         self.words, self.bits = words, len(words) * 64
 
     def holds(self, h: np.ndarray) -> np.ndarray:
-        if not len(h):
-            return np.zeros(0, bool)
-        at = _places(h, self.bits)
-        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+        left = np.arange(len(h))
+        for probe in range(PROBES):
+            at = _places(h[left], self.bits, probe)
+            left = left[((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)]
+        out = np.zeros(len(h), bool)
+        out[left] = True
+        return out
 
 
-def bloom_of(hashes: DataFrame, column: str = "h") -> Bloom:
+def bloom_of(hashes: DataFrame, column: str = "h", most_bits: int = MOST_BITS) -> Bloom:
     """The driver gathers the filter's words and nothing else."""
     bits, wanted = LEAST_BITS, BITS_EACH * hashes.count()
-    while bits < min(MOST_BITS, wanted):
+    while bits < min(most_bits, wanted):
         bits *= 2
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _places(batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64), bits).ravel()
+            h = batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.concatenate([_places(h, bits, probe) for probe in range(PROBES)])
             one = np.uint64(1) << (at & 63).astype(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(one.view(np.int64))], names=["word", "mark"])
 

@@ -16,6 +16,7 @@ from hypothesis import given, settings
 from pyspark.sql import functions as F
 
 from panelforge.llm import chat, decontam, html, media, packing, pii, quality
+from panelforge.llm.bloom import Bloom
 from panelforge.llm.queries import tokenizer_path
 
 # Decontamination
@@ -41,14 +42,13 @@ def brute_contamination(text, items, size=13):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
-def test_contamination_is_brute_force(spark, block):
+def test_contamination_is_brute_force(spark):
     rows = corpus()
     body = rows[5][1].split()
     items = [(1, " ".join(body[:20])), (2, "Alpha"), (10, " ".join(body[3:9]).upper()), (3, None), (4, ""), (5, "never there at all"),
              (None, " ".join(rows[0][1].split()[-14:])), (1, " ".join(body[:20])), (6, "東京 語")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("extra", F.lit(1))
-    got = decontam.contamination(documents(spark), bench, block_bytes=block).collect()
+    got = decontam.contamination(documents(spark), bench).collect()
     assert len(got) == len(rows)
     have = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got)
     want = []
@@ -56,11 +56,21 @@ def test_contamination_is_brute_force(spark, block):
         n, h, k, s = brute_contamination(t, items)
         want.append((i is None, i or 0, n, h, k, s, h > 0 and 20 * h >= n))
     assert have == sorted(want)
-    clean = decontam.without_contaminated(documents(spark), bench, block_bytes=block)
+    clean = decontam.without_contaminated(documents(spark), bench)
     assert clean.columns == documents(spark).columns
     assert clean.count() == sum(not w[-1] for w in want)
 
 
+def test_hot_shingles_and_full_filters(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "bloom_of", lambda h, c: Bloom(np.full(64, 2**64 - 1, np.uint64)))
+    rows = [(i, " ".join(["of the"] * 30) + f" own {i} " + " ".join(f"w{k}" for k in range(i % 20))) for i in range(60)]
+    items = [(k, " ".join(["of the"] * (k + 1))) for k in range(12)] + [(90, "w0 w1 w2"), (91, "the"), (92, " ".join(f"w{k}" for k in range(15)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for r in decontam.contamination(documents(spark, rows, extra=False), bench).collect():
+        text = dict(rows)[r["doc_id"]]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == brute_contamination(text, items)
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontam.contamination(documents(spark), none).collect()
