@@ -1,24 +1,26 @@
-"""Substring dedup by hashing lines and passages: the earliest ranked copy of a unit stays.
+"""Substring dedup by hashing lines, paragraphs and passages: the earliest ranked copy stays.
 
 Units of a text, normalised to lower case and one space between words:
-* every line of at least ``LINE_WORDS`` words, and the whole text if it is that long;
+* every line of at least ``LINE_WORDS`` words (1: every line that is not blank), every
+  paragraph (lines between blank ones) of as many, and the whole text, however short;
 * passages of ``GRAM`` words wherever they stand, chosen by content: of each
   ``SPREAD`` neighbouring passages the one with the smallest hash (winnowing), so a run
   of ``GRAM + SPREAD - 1`` words that occurs twice is sure to hold a chosen passage in
   both places. Line hashing alone misses what is pasted into the middle of a line.
 
-1. Hashes of all units are counted over the whole corpus; only hashes move, summed
-   for each batch first.
-2. Those that occur twice or more go into a Bloom filter of bounded size; a second read
-   gives out the units it holds, with 128-bit digests and offsets. A full filter
-   gives out more of them and changes no result.
+1. Hashes of all units are counted over the whole corpus, summed for each batch first.
+2. A second read gives out all units with 128-bit digests and places; a semi-join with the
+   hashes that occur twice or more leaves the repeated ones. No text moves for it, and
+   what moves grows with the corpus and not with its repeats.
 3. For each digest the earliest place by (document id, text hash, place) is kept, which
    is all that is gathered for a unit, however many share it. The other occurrences are
    cut from the texts; their original offsets are returned.
 
 What is cut from a text is in an earlier place of the corpus. Passages next to one
 another overlap, so a repeated run is cut whole but for at most ``SPREAD - 1`` words at
-either end. A line of which nothing is left goes with its line feed.
+either end. A line of which nothing is left goes with its line feed. Lines and paragraphs
+under ``LINE_WORDS`` words stay unless they lie in a longer repeat: most are phrases that
+texts share without being copies.
 
 Defined cases: a null text stays null; rows equal in id and text are one document
 listed twice; a null id ranks first; a document that is a later copy keeps an empty
@@ -37,11 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from .bloom import Bloom, bloom_of
 from .common import kept_columns, slices, text_strings
 
 LINE_WORDS = 25
-GRAM, SPREAD = 40, 12
+GRAM, SPREAD = 35, 16
 
 _WORD = re.compile(r"\S+")
 #: Odd multipliers of the two rolling hashes.
@@ -104,19 +105,23 @@ def chosen(h: np.ndarray, spread: int) -> np.ndarray:
 
 def units_of(text: str, line_words: int, gram: int, spread: int) -> tuple[Rolled, np.ndarray, np.ndarray]:
     """(hashes, first word, word after the last) of a text's units."""
-    counts = [len(line.split()) for line in text.split("\n")]
+    counts = np.array([len(line.split()) for line in text.split("\n")], np.int64)
     rolled = Rolled(text.lower().split())
     ends = np.cumsum(counts)
-    starts = ends - counts
-    long = ends - starts >= line_words
+    starts, solid = ends - counts, np.r_[False, counts > 0, False]
+    opens, closes = np.flatnonzero(solid[1:-1] & ~solid[:-2]), np.flatnonzero(solid[1:-1] & ~solid[2:])
+    several = opens < closes
+    starts, ends = np.concatenate((starts, starts[opens[several]])), np.concatenate((ends, ends[closes[several]]))
+    long = ends - starts >= max(1, line_words)
     starts, ends = starts[long], ends[long]
-    if rolled.n >= line_words and len(counts) > 1:
+    if rolled.n:
         starts, ends = np.append(starts, 0), np.append(ends, rolled.n)
     if rolled.n >= gram:
         at = np.arange(rolled.n - gram + 1)
         at = chosen(rolled.hashes(at, at + gram), spread)
         starts, ends = np.concatenate((starts, at)), np.concatenate((ends, at + gram))
-    return rolled, starts.astype(np.int64), ends.astype(np.int64)
+    each = np.unique(starts << 32 | ends)  # a text of one line is a line, a paragraph and the whole
+    return rolled, each >> 32, each & 0xFFFFFFFF
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -165,7 +170,7 @@ def repeated_hashes(docs: DataFrame, line_words: int, gram: int, spread: int) ->
     return counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-_UNIT = "doc_id long, key long, first long, start long, end long, a long, b long, again boolean"
+_UNIT = "doc_id long, key long, first int, last int, a long, b long, again boolean"
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -179,55 +184,44 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def unit_table(docs: DataFrame, repeated: Bloom, line_words: int, gram: int, spread: int) -> DataFrame:
-    """The units the filter holds: place, offsets in code points, two hashes.
+def unit_rows(text: str, line_words: int, gram: int, spread: int) -> tuple[np.ndarray, ...]:
+    """(first word, word after the last, hash, second hash, again) of a text's units.
 
-    Of units that recur inside one text only the first is given to be ranked; the
-    others are later copies whatever else the corpus holds and come merged, as ``again``.
+    Of units that recur inside the text only the first is given to be ranked. The others
+    are later copies whatever else the corpus holds; they come merged, as ``again``, under
+    the hash of one of them, which by then occurs twice.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+    rolled, starts, ends = units_of(text, line_words, gram, spread)
+    a, b = rolled.hashes(starts, ends), rolled.hashes(starts, ends, 1)
+    order = np.lexsort((starts, b, a))
+    starts, ends, a, b = starts[order], ends[order], a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    other = np.flatnonzero(~new)
+    again = merged(list(zip(starts[other].tolist(), ends[other].tolist())))
+    held = {first: h for first, h in zip(starts[other].tolist(), a[other].tolist())}
+    spans = np.array(again, np.int64).reshape(-1, 2)
+    hashes = np.array([held[first] for first, _ in again], np.uint64)
+    return (
+        np.concatenate((starts[new], spans[:, 0])), np.concatenate((ends[new], spans[:, 1])),
+        np.concatenate((a[new], hashes)), np.concatenate((b[new], hashes)), np.arange(int(new.sum()) + len(spans)) >= new.sum(),
+    )
+
+
+def unit_table(docs: DataFrame, line_words: int, gram: int, spread: int) -> DataFrame:
+    """All units: document, places in words, two hashes."""
     names = [x.split()[0] for x in _UNIT.split(", ")]
 
-    def units(text: str) -> list[np.ndarray]:
-        """first, start, end, a, b, again."""
-        rolled, starts, ends = units_of(text, line_words, gram, spread)
-        a = rolled.hashes(starts, ends)
-        hit = shared.value.holds(a)
-        if not hit.any():
-            return []
-        starts, ends, a = starts[hit], ends[hit], a[hit]
-        b = rolled.hashes(starts, ends, 1)
-        order = np.lexsort((starts, b, a))
-        starts, ends, a, b = starts[order], ends[order], a[order], b[order]
-        words = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
-        first, last = words[starts, 0], words[ends - 1, 1]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        place = np.r_[True, (starts[1:] != starts[:-1])] | new
-        again = np.array(merged(list(zip(first[~new & place].tolist(), last[~new & place].tolist()))), np.int64).reshape(-1, 2)
-        zeros = np.zeros(len(again), np.int64)
-        return [
-            np.concatenate(c)
-            for c in (
-                (starts[new], zeros), (first[new], again[:, 0]), (last[new], again[:, 1]),
-                (a[new].view(np.int64), zeros), (b[new].view(np.int64), zeros), (np.zeros(int(new.sum()), bool), zeros == 0),
-            )
-        ]
-
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows, columns = [], []
-                for i, text in enumerate(text_strings(part)):
-                    if found := units(text):
-                        columns.append(found)
-                        rows.append(np.full(len(found[0]), i))
-                if not rows:
-                    continue
-                take = pa.array(np.concatenate(rows))
+                found = [unit_rows(text, line_words, gram, spread) for text in text_strings(part)]
+                take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+                first, last, a, b, again = (np.concatenate(c) for c in zip(*found))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(take), part.column("key").take(take), *[pa.array(np.concatenate(c)) for c in zip(*columns)]],
+                    [part.column("doc_id").take(take), part.column("key").take(take), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+                     pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(again)],
                     names=names,
-                )
+                )
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(give, _UNIT)
 
@@ -241,35 +235,41 @@ def later_copies(units: DataFrame) -> DataFrame:
     place, ranked = F.struct("doc_id", "key", "first"), units.where(~F.col("again"))
     first = materialise(ranked.groupBy("a", "b").agg(F.min(place).alias("earliest")), "unit-firsts")
     later = ranked.join(first, ["a", "b"]).where(place > F.col("earliest"))
-    wanted = ["doc_id", "key", "start", "end"]
+    wanted = ["doc_id", "key", "first", "last"]
     return later.select(*wanted).unionByName(units.where("again").select(*wanted))
 
 
 def dedup_substrings(docs: DataFrame, line_words: int = LINE_WORDS, gram: int = GRAM, spread: int = SPREAD) -> DataFrame:
     """doc_id, text, n_removed (stretches), removed (start:end of each, comma-joined)."""
     docs = kept_columns(docs, ["doc_id", "text"])
-    repeated = bloom_of(materialise(repeated_hashes(docs, line_words, gram, spread), "unit-hashes"))
-    units = materialise(unit_table(docs, repeated, line_words, gram, spread), "units")
+    repeated = materialise(repeated_hashes(docs, line_words, gram, spread), "unit-hashes")
+    units = unit_table(docs, line_words, gram, spread)
+    units = materialise(units.join(repeated, units["a"] == repeated["h"], "left_semi"), "units")
     spans = (
         later_copies(units)
         .groupBy("doc_id", "key")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+        .agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
         .select(F.col("doc_id").alias("cut_doc"), F.col("key").alias("cut_key"), "spans")
-        .hint("shuffle_hash")
     )
     same = F.col("doc_id").eqNullSafe(F.col("cut_doc")) & (F.xxhash64("text") == F.col("cut_key"))
     joined = docs.join(spans, same, "left").select("doc_id", "text", "spans")
 
+    def offsets(text: str, spans: list[dict]) -> list[tuple[int, int]]:
+        """Stretches of words as stretches of code points."""
+        words = [m.span() for m in _WORD.finditer(text)]
+        return [(words[a][0], words[b - 1][1]) for a, b in merged([(s["first"], s["last"]) for s in spans])]
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                gone = merged([(s["start"], s["end"]) for s in spans or []])
-                out.append((cut(text, gone) if gone else text, len(gone), ",".join(f"{a}:{b}" for a, b in gone)))
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.string()])]],
-                names=["doc_id", "text", "n_removed", "removed"],
-            )
+            for part in slices(batch):
+                out: list[tuple] = []
+                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
+                    gone = offsets(text, spans) if spans else []
+                    out.append((cut(text, gone) if gone else text, len(gone), ",".join(f"{a}:{b}" for a, b in gone)))
+                columns = list(zip(*out)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.string()])]],
+                    names=["doc_id", "text", "n_removed", "removed"],
+                )
 
     return joined.mapInArrow(apply, "doc_id long, text string, n_removed long, removed string")
