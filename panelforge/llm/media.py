@@ -5,19 +5,24 @@ A payload is a text's UTF-8 bytes, padded with spaces to a positive multiple of
 bytes cuts it where the hash's low bits are zero, between ``SMALLEST`` and ``LARGEST``
 bytes, so equal passages are cut alike wherever they stand.
 
-Storing takes three reads of the documents and moves few bytes:
+The stored form of a payload is its manifest, the serialised ordered chunk list (digests
+and sizes): the same bytes for equal texts, whatever else is stored. Beside it a row holds
+the bytes of the chunks that occur nowhere else; all other chunks are references into a
+table that holds each shared chunk once.
+
+Storing:
 1. Chunk digests are counted over all documents, bytes staying where they are.
-2. Digests that occur twice or more go into a Bloom filter of bounded size. Chunks it
-   does not hold are surely unique and are stored in their document's row, in place.
-   The others become references in the document's ordered chunk list.
+2. Chunks whose digest occurs twice or more become references. Up to ``FILTERED`` such
+   digests a Bloom filter (16 bits for each, 16 MB at most) tells them where the text lies;
+   it may take a unique chunk for a shared one, which only goes the joined way then. Beyond,
+   texts are joined with the list of their shared digests, which moves every text once.
 3. Referenced chunks are gathered by digest and stored once. A task gives out a digest
    once, so a chunk that a third of all documents share moves once per task.
 
-Reading back joins chunk lists with the store, once for each different payload, puts
-chunks in order, checks every digest and the payload's, and only then computes
-features from the bytes read. Copies share one read.
-
-A filter that is full only makes more chunks go the joined way; results do not change.
+Reading back joins references with the shared chunks, once for each different payload, puts
+chunks in the manifest's order, checks every size, every digest and the payload's, and only
+then computes features from the bytes read. Copies share one read. ``media_bytes`` and
+``media_sha256`` are of the manifest that was read.
 
 Defined cases: a null or empty text is a payload of ``BLOCK`` spaces; rows with the
 same text have the same values; a null id is carried; extra columns are ignored.
@@ -28,6 +33,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
+from .bloom import bloom_of
 from .common import kept_columns, slices, text_bytes
 
 BLOCK = 192
@@ -45,8 +52,8 @@ SMALLEST, LARGEST = 512, 8192
 MASK = 0x7FF << 15
 DIGEST = 16
 MAGIC = b"CDC1"
-#: Bits of the Bloom filter at least and at most, and bits for each entry.
-LEAST_BITS, MOST_BITS, BITS_EACH, HASHES = 1 << 16, 1 << 24, 16, 4
+#: Shared digests up to which a filter of 16 bits for each is sent out: 16 MB.
+FILTERED = 1 << 23
 #: Digests that a task remembers having given out.
 REMEMBERED = 200_000
 
@@ -98,128 +105,119 @@ def chunks_of(payload: bytes) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def container(chunks: list[tuple[bytes, bytes]]) -> bytes:
-    """The stored form of a payload: its ordered chunk list, then the chunks."""
-    head = [MAGIC, len(chunks).to_bytes(4, "little")]
-    head += [d + len(c).to_bytes(4, "little") for d, c in chunks]
-    return b"".join(head + [c for _, c in chunks])
-
-
-def opened(media: bytes) -> list[tuple[bytes, bytes]]:
-    """The chunks of a stored form, each checked against its digest."""
-    if media[:4] != MAGIC:
-        raise ValueError("not a chunk container")
-    n = int.from_bytes(media[4:8], "little")
-    at, out = 8 + n * (DIGEST + 4), []
-    for i in range(n):
-        p = 8 + i * (DIGEST + 4)
-        digest, size = media[p : p + DIGEST], int.from_bytes(media[p + DIGEST : p + DIGEST + 4], "little")
-        chunk = media[at : at + size]
-        if digest_of(chunk) != digest:
-            raise ValueError("a chunk does not match its digest")
-        out.append((digest, chunk))
-        at += size
-    return out
+def manifest_of(chunks: list[tuple[bytes, bytes]]) -> bytes:
+    """The stored form: how many chunks, then the digest and size of each, in order."""
+    return b"".join([MAGIC, len(chunks).to_bytes(4, "little"), *[d + len(c).to_bytes(4, "little") for d, c in chunks]])
 
 
-def _positions(digests: np.ndarray, bits: int) -> np.ndarray:
-    """Places of each digest (rows of 16 bytes) in a filter of ``bits``."""
-    return digests.reshape(-1, DIGEST).view("<u4")[:, :HASHES].astype(np.int64) & (bits - 1)
+def listed(manifest: bytes) -> list[tuple[bytes, int]]:
+    """(digest, size) of the chunks of a stored form, in order."""
+    n = int.from_bytes(manifest[4:8], "little")
+    if manifest[:4] != MAGIC or len(manifest) != 8 + n * (DIGEST + 4):
+        raise ValueError("not a chunk list")
+    at = range(8, len(manifest), DIGEST + 4)
+    return [(manifest[p : p + DIGEST], int.from_bytes(manifest[p + DIGEST : p + DIGEST + 4], "little")) for p in at]
 
 
-class Filter:
-    def __init__(self, words: np.ndarray):
-        self.words, self.bits = words, len(words) * 64
-
-    def holds(self, digests: list[bytes]) -> np.ndarray:
-        if not digests:
-            return np.zeros(0, bool)
-        at = _positions(np.frombuffer(b"".join(digests), np.uint8), self.bits)
-        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+def rebuilt(manifest: bytes, chunks: list[bytes | None], fetched: dict[int, bytes], payload_id: bytes) -> bytes:
+    """The payload of a stored form, from chunks in place and fetched ones, all checked."""
+    parts = [fetched.get(k) if c is None else c for k, c in enumerate(chunks)]
+    wanted = listed(manifest)
+    if len(parts) != len(wanted) or any(c is None or len(c) != n or digest_of(c) != d for c, (d, n) in zip(parts, wanted)):
+        raise ValueError("a chunk does not match its digest")
+    payload = b"".join(parts)
+    if hashlib.sha256(payload).digest() != payload_id:
+        raise ValueError("a payload does not match its digest")
+    return payload
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return kept_columns(docs, ["doc_id", "text"])
 
 
+def _short(digests: list[bytes]) -> np.ndarray:
+    """The first 64 bits of digests."""
+    return np.frombuffer(b"".join(digests), ">u8")[:: DIGEST // 8].astype(np.uint64)
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """Digests that occur more than once over all documents."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = [d for t in text_bytes(part) for d, _ in chunks_of(payload_of(t))]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["digest"])
+                found = Counter(d for t in text_bytes(part) for d, _ in chunks_of(payload_of(t)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["digest", "n"])
 
-    found = docs.select("text").mapInArrow(digests, "digest binary")
-    return found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    found = docs.select("text").mapInArrow(digests, "digest binary, n long")
+    return found.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
 
 
-def filter_of(digests: DataFrame) -> Filter:
-    """A Bloom filter over a table of digests; its words are all the driver gathers."""
-    bits = LEAST_BITS
-    while bits < min(MOST_BITS, BITS_EACH * digests.count()):
-        bits *= 2
+def with_shared(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """doc_id, text, shared: the digests of a text's chunks that are repeated; null for none."""
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.uint8)
-            at = _positions(raw, bits).ravel()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))],
-                names=["word", "mark"],
-            )
-
-    rows = (
-        digests.mapInArrow(marks, "word long, mark long")
-        .groupBy("word")
-        .agg(F.bit_or("mark").alias("marks"))
-        .toArrow()
-    )
-    words = np.zeros(bits // 64, np.uint64)
-    words[rows["word"].to_numpy()] = rows["marks"].to_numpy().astype(np.int64).view(np.uint64)
-    return Filter(words)
+            for part in slices(batch):
+                found = [list({d for d, _ in chunks_of(payload_of(t))}) for t in text_bytes(part)]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, pa.list_(pa.binary()))], names=["key", "digests"])
+
+    keyed = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
+    each = keyed.select("key", "text").mapInArrow(digests, "key string, digests array<binary>").dropDuplicates(["key"])
+    held = each.select("key", F.explode("digests").alias("digest")).join(repeated, "digest", "left_semi")
+    lists = held.groupBy("key").agg(F.collect_list("digest").alias("shared"))
+    return keyed.join(lists, "key", "left").select("doc_id", "text", "shared")
 
 
 @dataclass
 class MediaStore:
-    """Tables of a store: whole documents, chunk lists with references, shared chunks."""
+    """Tables of a store: documents with manifests, chunks in place and references; shared chunks."""
 
     documents: DataFrame
     shared: DataFrame
 
 
-_LIST = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int64()), ("chunk", pa.binary())]))
+_REFS = pa.list_(pa.struct([("place", pa.int32()), ("digest", pa.binary())]))
 _DOCUMENT = (
-    "doc_id long, payload_id binary, n_bytes long, media binary, "
-    "list array<struct<digest:binary,size:bigint,chunk:binary>>"
+    "doc_id long, payload_id binary, n_bytes long, manifest binary, chunks array<binary>, refs array<struct<place:int,digest:binary>>"
 )
 
 
-def store(docs: DataFrame) -> MediaStore:
+def store(docs: DataFrame, filtered: int = FILTERED) -> MediaStore:
     docs = _texts(docs)
-    held = docs.sparkSession.sparkContext.broadcast(filter_of(materialise(repeated_chunks(docs), "digests")))
+    repeated = materialise(repeated_chunks(docs), "digests")
+    if repeated.count() <= filtered:
+        first = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+        held = docs.sparkSession.sparkContext.broadcast(bloom_of(repeated.select(first.alias("h")), most_bits=16 * FILTERED))
+        marked = docs.withColumn("shared", F.lit(None).cast("array<binary>"))
+    else:
+        held, marked = None, materialise(with_shared(docs, repeated), "marked")
+
+    def chunked(part: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, list[tuple[bytes, bytes]], np.ndarray]]:
+        """text, payload, chunks, whether each is a reference, for each row."""
+        for text, shared in zip(text_bytes(part), part.column("shared").to_pylist()):
+            payload = payload_of(text)
+            chunks = chunks_of(payload)
+            if held is not None:
+                yield text, payload, chunks, held.value.holds(_short([d for d, _ in chunks]))
+            else:
+                own = set(shared or [])
+                yield text, payload, chunks, np.array([d in own for d, _ in chunks], bool)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                ids, sizes, media, recipes = [], [], [], []
-                for text in text_bytes(part):
-                    payload = payload_of(text)
-                    chunks = chunks_of(payload)
-                    refer = held.value.holds([d for d, _ in chunks])
+                ids, sizes, manifests, places, refs = [], [], [], [], []
+                for text, payload, chunks, refer in chunked(part):
                     ids.append(hashlib.sha256(payload).digest())
                     sizes.append(len(text))
-                    whole = not refer.any()
-                    media.append(container(chunks) if whole else None)
-                    recipes.append(
-                        None if whole else
-                        [{"digest": d, "size": len(c), "chunk": None if r else c} for (d, c), r in zip(chunks, refer)]
-                    )
+                    manifests.append(manifest_of(chunks))
+                    places.append([None if r else c for (_, c), r in zip(chunks, refer)])
+                    refs.append([{"place": k, "digest": chunks[k][0]} for k in np.flatnonzero(refer).tolist()] or None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()),
-                     pa.array(media, pa.binary()), pa.array(recipes, _LIST)],
-                    names=["doc_id", "payload_id", "n_bytes", "media", "list"],
+                    [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(manifests, pa.binary()),
+                     pa.array(places, pa.list_(pa.binary())), pa.array(refs, _REFS)],
+                    names=["doc_id", "payload_id", "n_bytes", "manifest", "chunks", "refs"],
                 )
 
     def referenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +225,8 @@ def store(docs: DataFrame) -> MediaStore:
         for batch in batches:
             for part in slices(batch):
                 out: dict[bytes, bytes] = {}
-                for text in text_bytes(part):
-                    chunks = chunks_of(payload_of(text))
-                    for (d, c), r in zip(chunks, held.value.holds([d for d, _ in chunks])):
+                for _, _, chunks, refer in chunked(part):
+                    for (d, c), r in zip(chunks, refer):
                         if r and d not in seen:
                             out[d] = c
                             if len(seen) < REMEMBERED:
@@ -239,20 +236,13 @@ def store(docs: DataFrame) -> MediaStore:
                     names=["digest", "chunk"],
                 )
 
-    chunks = docs.select("text").mapInArrow(referenced, "digest binary, chunk binary")
+    chunks = marked.select("text", "shared").mapInArrow(referenced, "digest binary, chunk binary")
     return MediaStore(
-        materialise(docs.mapInArrow(lists, _DOCUMENT), "media"),
+        materialise(marked.mapInArrow(lists, _DOCUMENT), "media"),
         materialise(chunks.groupBy("digest").agg(F.first("chunk").alias("chunk")), "chunks"),
     )
 
 
-def _payload(chunks: list[tuple[bytes, bytes]], payload_id: bytes) -> bytes:
-    payload = b"".join(c for _, c in chunks)
-    if hashlib.sha256(payload).digest() != payload_id:
-        raise ValueError("a payload does not match its digest")
-    return payload
-
-
 def feature_of(payload: bytes, chunks: int) -> str:
     """Chunks, mean, variance and entropy of the samples, and sign changes about the mean."""
     x = np.frombuffer(payload, np.uint8).astype(np.int64)
@@ -277,11 +267,10 @@ _FEATURES = (
 )
 
 
-def _measured(chunks: list[tuple[bytes, bytes]], payload_id: bytes) -> tuple:
-    payload, media = _payload(chunks, payload_id), container(chunks)
+def _measured(payload: bytes, manifest: bytes) -> tuple:
     return (
-        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media),
-        hashlib.sha256(media).hexdigest(), feature_of(payload, len(chunks)),
+        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(manifest),
+        hashlib.sha256(manifest).hexdigest(), feature_of(payload, len(listed(manifest))),
     )
 
 
@@ -290,61 +279,45 @@ def _columns(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array(v, t) for v, (_, t) in zip(values, _RESULT)]
 
 
+_STORED = ["payload_id", "manifest", "chunks", "fetched"]
+
+
 def assembled(kept: MediaStore) -> DataFrame:
-    """payload_id, parts (place, digest, chunk): every different payload with references."""
-    lists = (
-        kept.documents.where(F.col("list").isNotNull())
-        .groupBy("payload_id")
-        .agg(F.first("list").alias("list"))
-        .select("payload_id", F.posexplode("list").alias("place", "part"))
-    )
-    needed = lists.where(F.col("part.chunk").isNull()).select(
-        "payload_id", "place", F.col("part.digest").alias("digest")
-    )
-    own = lists.where(F.col("part.chunk").isNotNull()).select(
-        "payload_id", "place", F.col("part.digest").alias("digest"), F.col("part.chunk").alias("chunk")
-    )
-    fetched = needed.join(kept.shared, "digest").select("payload_id", "place", "digest", "chunk")
-    return (
-        fetched.unionByName(own)
-        .groupBy("payload_id")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "digest", "chunk"))).alias("parts"))
-    )
+    """payload_id, manifest, chunks, fetched (place, chunk): every different payload with references."""
+    stored = F.first(F.struct("manifest", "chunks", "refs")).alias("s")
+    each = kept.documents.where(F.col("refs").isNotNull()).groupBy("payload_id").agg(stored).select("payload_id", "s.*")
+    wanted = each.select("payload_id", F.explode("refs").alias("r")).select("payload_id", "r.place", "r.digest")
+    fetched = wanted.join(kept.shared, "digest").groupBy("payload_id").agg(F.collect_list(F.struct("place", "chunk")).alias("fetched"))
+    return each.join(fetched, "payload_id").select(*_STORED)
+
+
+def _in_place(kept: MediaStore) -> DataFrame:
+    none = F.array().cast("array<struct<place:int,chunk:binary>>").alias("fetched")
+    return kept.documents.where(F.col("refs").isNull()).select("doc_id", "n_bytes", *_STORED[:3], none)
+
+
+def _payloads_of(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes]]:
+    """(payload, manifest) of each row, read one after another."""
+    for k in range(batch.num_rows):
+        payload_id, manifest, chunks, fetched = (batch.column(c)[k].as_py() for c in _STORED)
+        yield rebuilt(manifest, chunks, {f["place"]: f["chunk"] for f in fetched}, payload_id), manifest
 
 
 def read_back(kept: MediaStore) -> DataFrame:
     """doc_id, n_bytes and what is computed from the bytes read, for each document row."""
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            media, ids = batch.column("media"), batch.column("payload_id")
-            rows = [_measured(opened(m.as_py()), i.as_py()) for m, i in zip(media, ids)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), *_columns(rows)],
-                names=["doc_id", "n_bytes", *_NAMES],
-            )
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for parts, i in zip(batch.column("parts"), batch.column("payload_id").to_pylist()):
-                chunks = [(p["digest"], p["chunk"]) for p in parts.as_py()]
-                if any(digest_of(c) != d for d, c in chunks):
-                    raise ValueError("a chunk does not match its digest")
-                rows.append(_measured(chunks, i))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("payload_id"), *_columns(rows)], names=["payload_id", *_NAMES]
-            )
-
-    documents = kept.documents
-    inline = (
-        documents.where(F.col("media").isNotNull())
-        .select("doc_id", "n_bytes", "payload_id", "media")
-        .mapInArrow(whole, f"doc_id long, n_bytes long, {_FEATURES}")
-    )
-    measured = assembled(kept).mapInArrow(joined, f"payload_id binary, {_FEATURES}")
-    listed = documents.where(F.col("list").isNotNull()).select("doc_id", "n_bytes", "payload_id")
-    return inline.unionByName(listed.join(measured, "payload_id").drop("payload_id"))
+    def measure(carried: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [_measured(payload, manifest) for payload, manifest in _payloads_of(batch)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *_columns(rows)], names=[*carried, *_NAMES])
+
+        return run
+
+    inline = _in_place(kept).mapInArrow(measure(["doc_id", "n_bytes"]), f"doc_id long, n_bytes long, {_FEATURES}")
+    measured = assembled(kept).mapInArrow(measure(["payload_id"]), f"payload_id binary, {_FEATURES}")
+    rows = kept.documents.where(F.col("refs").isNotNull()).select("doc_id", "n_bytes", "payload_id")
+    return inline.unionByName(rows.join(measured, "payload_id").drop("payload_id"))
 
 
 def payloads(kept: MediaStore) -> DataFrame:
@@ -352,20 +325,11 @@ def payloads(kept: MediaStore) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for m, parts, i in zip(
-                batch.column("media").to_pylist(), batch.column("parts").to_pylist(), batch.column("payload_id").to_pylist()
-            ):
-                chunks = opened(m) if m is not None else [(p["digest"], p["chunk"]) for p in parts]
-                found.append(_payload(chunks, i))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("payload_id"), pa.array(found, pa.binary())], names=["payload_id", "payload"]
-            )
-
-    inline = kept.documents.where(F.col("media").isNotNull()).select("payload_id", "media").dropDuplicates(["payload_id"])
-    return inline.unionByName(assembled(kept), allowMissingColumns=True).mapInArrow(
-        join, "payload_id binary, payload binary"
-    )
+            found = [payload for payload, _ in _payloads_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("payload_id"), pa.array(found, pa.binary())], names=["payload_id", "payload"])
+
+    inline = _in_place(kept).select(*_STORED).dropDuplicates(["payload_id"])
+    return inline.unionByName(assembled(kept)).mapInArrow(join, "payload_id binary, payload binary")
 
 
 def media_features(docs: DataFrame) -> DataFrame:

@@ -167,50 +167,79 @@ def test_trees_judge_unseen_examples():
 # Media
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.binary(max_size=30_000))
-def test_chunks_make_up_the_payload(data):
-    p = media.payload_of(data)
+def brute_cuts(payload):
+    """Ends of chunks, byte by byte: the last 32 bytes' numbers, each shifted by its age."""
+    numbers = [int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4).digest(), "little") for b in range(256)]
+    out, start, h = [], 0, 0
+    for at, b in enumerate(payload, 1):
+        h = (h << 1) + numbers[b] & 0xFFFFFFFF
+        if at - start >= 512 and (h >> 15 & 0x7FF) == 0 or at - start == 8192:
+            out.append(at)
+            start = at
+    return out if start == len(payload) else [*out, len(payload)]
+
+
+def brute_feature(payload):
+    n, mean = len(payload), sum(payload) / len(payload)
+    shares = [payload.count(bytes([b])) / n for b in set(payload)]
+    above = [b > mean for b in payload]
+    return [len(brute_cuts(payload)), mean, sum((b - mean) ** 2 for b in payload) / n, -sum(p * math.log2(p) for p in shares), sum(a != b for a, b in zip(above, above[1:]))]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=400), st.integers(1, 60))
+def test_chunks_rebuild_the_payload(piece, times):
+    p = media.payload_of(piece * times)
     chunks = media.chunks_of(p)
     assert b"".join(c for _, c in chunks) == p and len(p) % 192 == 0 and p
-    assert all(media.SMALLEST <= len(c) <= media.LARGEST for _, c in chunks[:-1])
-    assert media.opened(media.container(chunks)) == chunks
+    assert np.cumsum([len(c) for _, c in chunks]).tolist() == brute_cuts(p)
+    m = media.manifest_of(chunks)
+    assert media.listed(m) == [(d, len(c)) for d, c in chunks]
+    assert media.rebuilt(m, [None if k % 2 else c for k, (_, c) in enumerate(chunks)], {k: c for k, (_, c) in enumerate(chunks) if k % 2}, hashlib.sha256(p).digest()) == p
 
 
-def test_rolling_hash_and_shifted_content():
-    rng = np.random.default_rng(0)
-    data = rng.integers(32, 127, 60_000, dtype=np.uint8).tobytes()
-    h, table = 0, media.gear()
-    for b, r in zip(data[:500], media.rolling(data[:500])):
-        h = ((h << 1) + int(table[b])) & 0xFFFFFFFF
-        assert h == int(r)
+def test_shifted_content_and_damage():
+    data = np.random.default_rng(0).integers(32, 127, 60_000, dtype=np.uint8).tobytes()
+    assert np.cumsum([len(c) for _, c in media.chunks_of(data)]).tolist() == brute_cuts(data)
     a, b = ({d for d, _ in media.chunks_of(x)} for x in (data, b"inserted" + data))
     assert len(a & b) > 0.8 * len(a)
-    with pytest.raises(ValueError):
-        media.opened(media.container([(b"0" * 16, b"wrong")]))
+    chunks = media.chunks_of(data)
+    m, parts, whole = media.manifest_of(chunks), [c for _, c in chunks], hashlib.sha256(data).digest()
+    for damage in ((m[:-1], parts, {}, whole), (m, [*parts[:-1], b"x"], {}, whole), (m, [None, *parts[1:]], {}, whole), (m, parts, {}, b"0" * 32)):
+        with pytest.raises(ValueError):
+            media.rebuilt(*damage)
 
 
-def test_media_round_trip(spark):
-    rows = corpus()
-    rng = np.random.default_rng(1)
-    shared = "".join(map(chr, rng.integers(97, 123, 30_000)))
-    rows += [(200 + i, f"{i} " * 3000 + shared) for i in range(4)]
-    docs = documents(spark, rows)
-    kept = media.store(docs)
+def media_rows():
+    shared = "".join(map(chr, np.random.default_rng(1).integers(97, 123, 30_000)))
+    return corpus() + [(200 + i, f"{i} " * 3000 + shared) for i in range(4)]
+
+
+@pytest.mark.parametrize("filtered", [media.FILTERED, -1])
+def test_media_round_trip(spark, filtered):
+    rows = media_rows()
+    kept = media.store(documents(spark, rows), filtered)
     got = media.read_back(kept).collect()
-    assert len(got) == len(rows) and kept.documents.where("list is not null").count() >= 4
+    assert len(got) == len(rows) and kept.documents.where("refs is not null").count() >= 4
     texts = {}
     for i, t in rows:
         texts.setdefault(i, set()).add(media.payload_of((t or "").encode()))
+    stored = {bytes(r["payload_id"]): bytes(r["manifest"]) for r in kept.documents.collect()}
     for r in got:
         match = [p for p in texts[r["doc_id"]] if hashlib.sha256(p).hexdigest() == r["payload_sha256"]]
         assert len(match) == 1
         p = match[0]
-        whole = media.container(media.chunks_of(p))
-        assert (r["payload_bytes"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (len(p), zlib.crc32(p[-16:]), len(whole), hashlib.sha256(whole).hexdigest())
-        assert r["n_bytes"] <= len(p) and r["feature"] == media.feature_of(p, len(media.chunks_of(p)))
+        form = stored[hashlib.sha256(p).digest()]
+        assert (r["payload_bytes"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (len(p), zlib.crc32(p[-16:]), len(form), hashlib.sha256(form).hexdigest())
+        assert [float(x.split("=")[1]) for x in r["feature"].split(";")] == pytest.approx(brute_feature(p), abs=2e-6) and r["n_bytes"] <= len(p)
     assert {bytes(x["payload"]) for x in media.payloads(kept).collect()} == set().union(*texts.values())
     assert kept.shared.count() == kept.shared.select("digest").distinct().count()
+    held = [c for r in kept.documents.dropDuplicates(["payload_id"]).collect() for c in r["chunks"] if c is not None]
+    every = [c for p in set().union(*texts.values()) for _, c in media.chunks_of(p)]
+    assert len(held) + kept.shared.count() == len(set(every))  # each chunk is stored once
+
+
+def test_media_of_an_empty_table(spark):
     assert media.media_features(empty(spark)).collect() == []
 
 
