@@ -42,7 +42,7 @@ from ..functions.storage import materialise
 from .common import kept_columns, slices, text_strings
 
 LINE_WORDS = 25
-GRAM, SPREAD = 35, 16
+GRAM, SPREAD = 40, 11
 
 _WORD = re.compile(r"\S+")
 #: Odd multipliers of the two rolling hashes.
