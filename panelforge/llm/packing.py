@@ -7,10 +7,11 @@
 3. On the driver a linear program over patterns (how many rests of each class one
    sequence holds) is solved by column generation: a revised simplex gives dual
    prices, an unbounded knapsack by dynamic programming prices new columns.
-   Patterns are rounded down; what is left over is filled greedily by the same
-   knapsack with the counts as bounds.
+   Patterns are rounded down; what is left over is packed first fit decreasing, the
+   largest classes that are left first.
 4. Rests are ranked within their class (by document, in salted groups) and the
-   rank alone says which copy of which pattern takes the document.
+   rank alone says which copy of which pattern takes the document: patterns are looked
+   up in the order of the first rank they take.
 
 A class is as wide as its longest member, so a sequence never overflows; the
 padding is at most ``GRAIN - 1`` ids a rest plus what the last patterns leave.
@@ -46,6 +47,8 @@ GAP = 5e-4
 #: Groups a length class is ranked in: this many, and one more for each SALT_ROWS rows.
 SALTS = 64
 SALT_ROWS = 500_000
+#: More than any class' rank.
+FAR = 1 << 48
 #: Sizes of groups are broadcast up to this many rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -165,28 +168,31 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     return kept_columns(docs, ["doc_id", "text"]).mapInArrow(cut, PIECE)
 
 
-def knapsack(prices: np.ndarray, capacity: int, bounds: np.ndarray | None = None) -> np.ndarray:
+def knapsack(prices: np.ndarray, capacity: int) -> np.ndarray:
     """Counts per class of a dearest pattern; class c fills c + 1 units of ``capacity``."""
-    if bounds is None:
-        value, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for w in range(1, capacity + 1):
-            k = min(w, len(prices))
-            gains = prices[:k] + value[w - 1 :: -1][:k]
-            best = int(np.argmax(gains))
-            value[w] = value[w - 1]
-            if gains[best] > value[w] + 1e-12:
-                value[w], take[w] = gains[best], best
-        pattern, w = np.zeros(len(prices), int), capacity
-        while w > 0:
-            if take[w] < 0:
-                w -= 1
-            else:
-                pattern[take[w]] += 1
-                w -= take[w] + 1
-        return pattern
-    pattern, room = np.zeros(len(prices), int), capacity
-    for c in range(len(prices) - 1, -1, -1):
-        n = min(int(bounds[c]), room // (c + 1))
+    value, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for w in range(1, capacity + 1):
+        k = min(w, len(prices))
+        gains = prices[:k] + value[w - 1 :: -1][:k]
+        best = int(np.argmax(gains))
+        value[w] = value[w - 1]
+        if gains[best] > value[w] + 1e-12:
+            value[w], take[w] = gains[best], best
+    pattern, w = np.zeros(len(prices), int), capacity
+    while w > 0:
+        if take[w] < 0:
+            w -= 1
+        else:
+            pattern[take[w]] += 1
+            w -= take[w] + 1
+    return pattern
+
+
+def largest_first(left: np.ndarray, capacity: int) -> np.ndarray:
+    """A pattern of what is ``left`` of each class, the largest that still fits first."""
+    pattern, room = np.zeros(len(left), int), capacity
+    for c in range(len(left) - 1, -1, -1):
+        n = min(int(left[c]), room // (c + 1))
         pattern[c], room = n, room - n * (c + 1)
     return pattern
 
@@ -235,7 +241,7 @@ def solve_patterns(
             plan.append((pattern, copies))
             left -= pattern * copies
     while left.any():
-        pattern = knapsack(np.arange(1.0, len(demand) + 1), capacity, left)
+        pattern = largest_first(left, capacity)
         used = pattern > 0
         copies = int((left[used] // pattern[used]).min())
         plan.append((pattern, copies))
@@ -286,19 +292,22 @@ def pack(
     units = capacity // grain
     histogram = {r["cls"]: r["n"] for r in classed.groupBy("cls").agg(F.count("*").alias("n")).collect()}
     demand = np.array([histogram.get(c, 0) for c in range(units)], np.int64)
-    slots = _slots(solve_patterns(demand, units), 0)
-    schema = "cls int, lo long, hi long, each long, sequence long, slot long"
-    table = F.broadcast(spark.createDataFrame(slots or [(-1, 0, 0, 1, 0, 0)], schema))
-    placed = (
-        _ranked(classed, ["cls"], int(demand.sum()), units)
-        .join(table, "cls")
-        .where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-        .select(
-            "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-            (F.col("sequence") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).alias("sequence_id"),
-            (F.col("slot") + F.pmod(F.col("rank") - F.col("lo"), F.col("each"))).alias("slot"),
-        )
-    )
+    slots = np.array(_slots(solve_patterns(demand, units), 0), np.int64).reshape(-1, 6)
+    # At most units x units rows of six numbers, by class and first rank.
+    shared = spark.sparkContext.broadcast(slots[np.lexsort((slots[:, 1], slots[:, 0]))])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, lo, _, each, sequence, slot = shared.value.T
+        first = cls * FAR + lo
+        for batch in batches:
+            c, rank = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("cls", "rank"))
+            at = np.searchsorted(first, c * FAR + rank, side="right") - 1
+            copy, k = np.divmod(rank - lo[at], each[at])
+            columns = [*[batch.column(n) for n in _ARROW.names], pa.array(sequence[at] + copy), pa.array(slot[at] + k)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*_ARROW.names, "sequence_id", "slot"])
+
+    ranked = _ranked(classed, ["cls"], int(demand.sum()), units)
+    placed = ranked.select(*_ARROW.names, "cls", "rank").mapInArrow(place, f"{PIECE}, sequence_id long, slot long")
     before = (
         Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -7,9 +7,10 @@ is ``1 + ln(count)``, and the vector is scaled to length one, so long texts weig
 more than short ones. A score is the logistic function of a sparse dot product.
 
 Training: labelled documents outside the held-out quarter, at most ``SAMPLE_DOCS`` of
-them, those first by a hash of their id (the documented bound; features are hashed on
-the executors and only they reach the driver, which runs ``EPOCHS`` passes of FTRL in
-that order). Weights go to the executors as one
+them, those first by a hash of their id, and of these as many as hold ``SAMPLE_BYTES`` of
+text (the documented bounds; features are hashed on the executors and only they reach the
+driver, which runs ``EPOCHS`` passes of FTRL in that order). Of several texts under one id
+the one with the smallest hash is used. Weights go to the executors as one
 vector of fixed size (``2 ** BITS`` doubles).
 
 Scores use the text alone. Defined cases: null and empty texts have no features and
@@ -28,13 +29,15 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept_columns, text_bytes
+from ..functions.storage import materialise
+from .common import kept_columns, slices, text_bytes
 
 BITS = 18
 SAMPLE_DOCS = 6000
+SAMPLE_BYTES = 32 << 20
 EPOCHS = 3
 THRESHOLD = 0.7
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.02
@@ -88,8 +91,8 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> list:
-    """(label, places, values) of the bounded sample, in the order of its hash."""
+def training_texts(docs: DataFrame, labels: DataFrame, sample: int, most_bytes: int) -> DataFrame:
+    """order, doc_id, label, text of the bounded sample."""
     judged = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -97,22 +100,34 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS)
         .where(~held_out(F.col("doc_id")))
     )
     chosen = judged.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(sample)
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("order", "doc_id", "label", "text")
+    one = F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("one")
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("order", "doc_id", "label").agg(one)
+    texts = materialise(texts.select("order", "doc_id", "label", "one.text"), "training")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    upto = Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most ``sample`` rows
+    fits = texts.select("doc_id", "order", size).withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= most_bytes)
+    return texts.join(F.broadcast(fits.select("doc_id")), "doc_id")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> list:
+    """(label, places, values) of the bounded sample, in the order of its hash."""
+    texts = training_texts(docs, labels, sample, most_bytes).select("order", "doc_id", "label", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features_of(t) for t in text_bytes(batch)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("order"), batch.column("doc_id"), batch.column("label"),
-                 pa.array([p.astype("<i4").tobytes() for p, _ in found], pa.binary()),
-                 pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())],
-                names=["order", "doc_id", "label", "places", "values"],
-            )
+            for part in slices(batch):
+                found = [features_of(t) for t in text_bytes(part)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("order"), part.column("doc_id"), part.column("label"),
+                     pa.array([p.astype("<i4").tobytes() for p, _ in found], pa.binary()),
+                     pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())],
+                    names=["order", "doc_id", "label", "places", "values"],
+                )
 
     rows = texts.mapInArrow(
         hashed, "order long, doc_id long, label int, places binary, values binary"
     ).collect()
-    rows.sort(key=lambda r: (r["order"], r["doc_id"], bytes(r["places"])))
+    rows.sort(key=lambda r: (r["order"], r["doc_id"]))
     return [(r["label"], np.frombuffer(r["places"], "<i4"), np.frombuffer(r["values"], "<f4")) for r in rows]
 
 
@@ -150,12 +165,12 @@ def scored(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = score_texts(text_bytes(batch), shared.value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(s),
-                 pa.array((s >= threshold).astype(np.int32))],
-                names=["doc_id", "held_out", "score", "predicted"],
-            )
+            for part in slices(batch):
+                s = score_texts(text_bytes(part), shared.value)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
+                    names=["doc_id", "held_out", "score", "predicted"],
+                )
 
     return (
         kept_columns(docs, ["doc_id", "text"])
@@ -170,7 +185,7 @@ def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = score_texts(text_bytes(batch), shared.value)
-            yield batch.filter(pa.array(s >= threshold))
+            for part in slices(batch):
+                yield part.filter(pa.array(score_texts(text_bytes(part), shared.value) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -15,8 +15,9 @@ from fixtures import corpus, documents, empty
 from hypothesis import given, settings
 from pyspark.sql import functions as F
 
-from panelforge.llm import chat, decontam, html, media, packing, pii, quality
+from panelforge.llm import chat, decontam, html, line_dedup, media, packing, pii, quality, simhash, substring
 from panelforge.llm.bloom import Bloom
+from panelforge.llm.common import SLICE_BYTES
 from panelforge.llm.queries import tokenizer_path
 
 # Decontamination
@@ -106,6 +107,61 @@ def test_quality_learns_and_never_sees_the_held_out_quarter(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] for r in got.values())
 
 
+def brute_quality(train, texts):
+    """Scores by plain dictionaries: word and pair counts, FTRL one coordinate at a time."""
+    def grams(text):
+        words = re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+", text.encode())
+        counts = {}
+        for g in [*words, *(b"\x00again" if a == b else b"" for a, b in zip(words, words[1:])), *(a + b" " + b for a, b in zip(words, words[1:]))]:
+            if g:
+                counts.setdefault(g, 0)
+                counts[g] += 1
+        places = {}
+        for g, n in counts.items():
+            places[zlib.crc32(g) % 2**18] = places.get(zlib.crc32(g) % 2**18, 0) + n
+        x = {p: 1 + math.log(n) for p, n in places.items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        return {p: v / length for p, v in x.items()}
+
+    n, z = {}, {}
+
+    def weight(p):
+        a = z.get(p, 0.0)
+        return 0.0 if abs(a) <= 0.02 else -(a - math.copysign(0.02, a)) / ((1 + math.sqrt(n.get(p, 0.0))) / 1.0 + 0.02)
+
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    for _ in range(3):
+        for label, text in train:
+            x = {p: float(np.float32(v)) for p, v in grams(text).items()} | {-1: 1.0}
+            w = {p: weight(p) for p in x}
+            error = logistic(sum(w[p] * v for p, v in x.items())) - label
+            for p, v in x.items():
+                g, old = error * v, n.get(p, 0.0)
+                z[p] = z.get(p, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) * w[p]
+                n[p] = old + g * g
+    return [logistic(weight(-1) + sum(weight(p) * v for p, v in grams(t).items())) if t else logistic(weight(-1)) for t in texts]
+
+
+def test_quality_is_brute_force(spark):
+    rows, labels = labelled(spark, 60)
+    rows = [*rows, (70, "same same same word"), (71, ""), (72, "été 東京 a.b!!")]
+    docs = documents(spark, rows)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    order = {r["id"]: r["h"] for r in spark.range(60).select("id", F.xxhash64("id").alias("h")).collect()}
+    texts = dict(rows)
+    train = [(int(i % 5 != 0), texts[i]) for i in sorted(ids, key=lambda i: (order[i], i))]
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, quality.fit(docs, labels)).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(brute_quality(train, [t for _, t in rows]), abs=1e-9)
+
+
+def test_training_is_bounded(spark):
+    rows, labels = labelled(spark, 60)
+    docs = documents(spark, [*rows, *[(0, rows[0][1])] * 20, (0, "another text")]).select("doc_id", "text")
+    assert len(quality.training_rows(docs, labels)) == len(quality.training_rows(documents(spark, rows).select("doc_id", "text"), labels))
+    some = quality.training_texts(docs, labels, 6000, 1000).collect()
+    assert 0 < sum(len(r["text"]) for r in some) <= 1000
+
+
 def test_quality_of_odd_rows(spark):
     _, labels = labelled(spark)
     w = quality.fit(empty(spark), labels)
@@ -533,6 +589,28 @@ def test_patterns_hold_the_demand_and_fit(counts):
     assert bound <= rolls <= 1.3 * bound + 24
 
 
+def test_texts_beyond_a_slice(spark):
+    """Texts that together and alone pass the bytes handled at a time."""
+    unit = " ".join(f"word{k % 97}" for k in range(60_000)) + "\n"
+    rows = [(1, unit * 22), (2, "tiny text"), (3, unit * 22), (4, unit * 4 + "call 555-123-4567"), (5, None)]
+    docs = documents(spark, rows, extra=False)
+    assert len(rows[0][1]) > SLICE_BYTES
+    got = {r["doc_id"]: r for r in media.media_features(docs).collect()}
+    assert got[1]["payload_sha256"] == got[3]["payload_sha256"] == hashlib.sha256(media.payload_of(rows[0][1].encode())).hexdigest()
+    assert {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).collect()}[4].startswith("phone_local:")
+    w = np.zeros(2**18 + 1)
+    assert quality.scored(docs, w).count() == 5 and quality.accepted(docs, w, 0.4).count() == 5
+    bench = spark.createDataFrame([(7, "word3 word4 word5"), (8, "tiny text")], "item_id long, text string")
+    hits = {r["doc_id"]: r for r in decontam.contamination(docs, bench).collect()}
+    assert hits[1]["n_words"] == 1_320_000 and hits[2]["contaminated"] and hits[1]["n_hit"] == 3 * sum(k % 97 == 3 for k in range(60_000)) * 22
+    near = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert near[3] == 1 and near[2] == 2
+    cut = {r["doc_id"]: r["text"] for r in substring.dedup_substrings(docs).collect()}
+    assert cut[3] == "" and cut[5] is None and len(cut[1]) < 2 * len(unit)
+    lines = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert lines[1].strip("\n") == unit.strip("\n") and lines[4] == "call 555-123-4567"
+
+
 def test_knapsack_prices_the_best_pattern():
     prices = np.array([0.1, 0.35, 0.5, 0.0, 0.9])
     p = packing.knapsack(prices, 9)
