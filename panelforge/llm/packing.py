@@ -23,24 +23,23 @@ null. Repeated rows are packed each by itself. An empty table gives no pieces.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from .common import kept_columns, slices, text_strings
+from .common import kept_columns, slices
 
 CAPACITY = 4096
 GRAIN = 16
 END_ID = 2
-#: Chunks and plain words whose ids a Python worker remembers; others are encoded each time.
-MEMORY_CHUNKS = 300_000
+#: Other chunks and plain words whose ids a Python worker remembers; beyond, it forgets and begins anew.
+MEMORY_CHUNKS = 100_000
 MEMORY_WORDS = 700_000
 #: The linear program is solved when it is this near to its bound, as a share.
 GAP = 5e-4
@@ -61,11 +60,14 @@ class WordEncoder:
 
     The tokenizer's normaliser and splitter never join across a space or a line
     feed and drop both, so a text's ids are those of its space-separated chunks in
-    order. Chunks are remembered; unknown ones that are plain letters, with ASCII
-    punctuation after them at most, are put together from their two parts.
+    order. A chunk of plain letters with ASCII signs after them at most is put together
+    from these two parts; parts and other chunks are remembered.
     """
 
-    _PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?-@\[-`{-~]*)$", re.M)
+    _LETTERS = "".join(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+    _STEM = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+    #: ASCII signs that a word may end in: all but the apostrophe, which may begin an ending.
+    _MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c not in "'<>")
 
     def __init__(self, path: str, chunks: int = MEMORY_CHUNKS, words: int = MEMORY_WORDS):
         import os
@@ -74,9 +76,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.limits = chunks, words
+        #: Of each kind of part what is remembered, and how many.
+        self.memory: dict[str, tuple[dict[str, bytes], int]] = {"words": ({}, words), "marks": ({}, chunks), "other": ({}, chunks)}
         #: Ids that close a word; every run of letters ends in exactly one of them.
         self.closing = np.zeros(self.tokenizer.get_vocab_size() + 8, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -104,33 +105,51 @@ class WordEncoder:
                 out += self._encode(group)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunked = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted: set[str] = set()
-        for c in chunked:
-            wanted.update(c)
-        known = self.known
-        new = [c for c in wanted if c not in known]
+    def _remembered(self, kind: str, strings: list[str], encode) -> list[bytes]:
+        """Ids of different strings, encoded once while the memory of their kind has room."""
+        memory, room = self.memory[kind]
+        new = list(set(strings).difference(memory))
         if new:
-            room = len(known) < self.limits[0]
-            target = known if room else {c: known[c] for c in wanted if c in known}
-            pairs = self._PLAIN.findall("\n".join(new))
-            plain = [a + b for a, b in pairs]
-            lowered = [a.lower() for a, _ in pairs]
-            marks = [b for _, b in pairs]
-            rest = list(set(new).difference(plain))
-            parts = self.parts
-            words, signs = set(lowered).difference(parts), set(marks).difference(parts)
-            if len(parts) >= self.limits[1]:
-                parts = {w: parts[w] for w in chain(lowered, marks) if w in parts}
-            listed, other = list(words), list(signs)
-            parts.update(zip(listed, self._encode_words(listed)))
-            parts.update(zip(other, self._encode(other)))
-            target.update(zip(plain, [parts[a] + parts[b] for a, b in zip(lowered, marks)]))
-            target.update(zip(rest, self._encode(rest)))
-            known = target
-        get = known.__getitem__
-        return [b"".join(map(get, c)) for c in chunked]
+            if len(memory) + len(new) > room:
+                memory.clear()  # what is frequent comes back at once
+                new = strings
+            memory.update(zip(new, encode(new)))
+        return list(map(memory.__getitem__, strings))
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, and where each text's end.
+
+        Each different chunk is taken apart once, and each different part looked up once.
+        """
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        chunks = pc.list_flatten(split).dictionary_encode()
+        whole, token = chunks.dictionary, chunks.indices.to_numpy()
+        stems = pc.utf8_rtrim(whole, self._MARKS)
+        plain = pc.match_substring_regex(stems, self._STEM)
+        words = pc.utf8_lower(stems.filter(plain)).dictionary_encode()
+        marks = pc.utf8_ltrim(whole.filter(plain), self._LETTERS).dictionary_encode()
+        other = whole.filter(pc.invert(plain))
+        raw = [
+            *self._remembered("words", words.dictionary.to_pylist(), self._encode_words),
+            *self._remembered("marks", marks.dictionary.to_pylist(), self._encode),
+            *self._remembered("other", other.to_pylist(), self._encode),
+            b"",
+        ]
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        first, second = np.empty(len(whole), np.int64), np.full(len(whole), len(raw) - 1)
+        first[is_plain] = words.indices.to_numpy()
+        second[is_plain] = marks.indices.to_numpy() + len(words.dictionary)
+        first[~is_plain] = np.arange(len(other)) + len(words.dictionary) + len(marks.dictionary)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        each = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes)))), pa.array(np.frombuffer(b"".join(raw), "<u4")))
+        parts = np.stack([first, second], axis=1)[token].ravel()
+        found = each.take(pa.array(parts)).flatten().to_numpy()
+        upto = np.concatenate(([0], np.cumsum((sizes[first] + sizes[second])[token])))
+        return found, upto[np.cumsum(pc.list_value_length(split).to_numpy())]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, ends = self.encode_array(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -155,11 +174,11 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
         encoder = encoder_for(tokenizer_path)
         for batch in batches:
             for part in slices(batch):
-                out = []
-                ids = part.column("doc_id").to_pylist()
-                for doc, raw in zip(ids, encoder.encode(text_strings(part))):
-                    raw += end
-                    n = len(raw) // 4
+                out, start = [], 0
+                ids, ends = encoder.encode_array(pc.fill_null(part.column("text"), ""))
+                for doc, stop in zip(part.column("doc_id").to_pylist(), ends.tolist()):
+                    raw = ids[start:stop].tobytes() + end
+                    start, n = stop, len(raw) // 4
                     out += [(doc, s, size, crc, n) for s, size, crc in pieces_of(raw, capacity)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in zip(*out)], schema=_ARROW
