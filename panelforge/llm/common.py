@@ -17,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, most: int = SLICE_BYTES) -> None:
+    """Arrow batches of at most ``most`` bytes, for a query that runs in a session of its own.
+
+    Two tasks of an executor with their Python workers hold several copies of a batch. A
+    smaller setting of the user's stays; operators never call this, queries and stages do.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(key).lower()
+    digits = "".join(c for c in size if c.isdigit())
+    if int(digits) << {"k": 10, "m": 20, "g": 30}.get(size.removesuffix("b")[-1:], 0) > most:
+        spark.conf.set(key, str(most))
+
+
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

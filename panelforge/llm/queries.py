@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, html, line_dedup, media, packing, pii, quality, simhash, substring
-from .common import table
+from .common import bounded_batches
+from .common import table as read
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a query, which reads it in Arrow batches of bounded size."""
+    bounded_batches(spark)
+    return read(spark, sf_dir, name)
 
 
 def tokenizer_path() -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import chat, decontam, html, line_dedup, media, packing, pii, quality, simhash, substring
 from panelforge.llm.bloom import Bloom
-from panelforge.llm.common import SLICE_BYTES
+from panelforge.llm.common import SLICE_BYTES, bounded_batches
 from panelforge.llm.queries import tokenizer_path
 
 # Decontamination
@@ -569,7 +569,7 @@ def test_encoder_is_the_tokenizer():
 
     t = Tokenizer.from_file(tokenizer_path())
     texts = [x or "" for _, x in corpus()] + ["It's WE'LL don't 12.5% naïve Über_x <|endoftext|> ﬁ İ ΑΣ á  x\ty\r\nz 'S's", "   ", "ﷺ 東京tower🙂🙂 --- ***"]
-    for encoder in (packing.WordEncoder(tokenizer_path()), packing.WordEncoder(tokenizer_path(), 5, 5)):
+    for encoder in (packing.WordEncoder(tokenizer_path()), packing.WordEncoder(tokenizer_path(), 5, 5)):  # with room for all and for few
         for _ in range(2):
             for text, raw in zip(texts, encoder.encode(texts)):
                 assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
@@ -611,6 +611,16 @@ def test_texts_beyond_a_slice(spark):
     assert lines[1].strip("\n") == unit.strip("\n") and lines[4] == "call 555-123-4567"
 
 
+def test_a_query_bounds_its_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for size, after in (("64m", str(SLICE_BYTES)), ("1m", "1m"), ("1000", "1000"), ("67108864b", str(SLICE_BYTES))):
+        spark.conf.set(key, size)
+        bounded_batches(spark)
+        assert spark.conf.get(key) == after
+    spark.conf.set(key, before)
+
+
 def test_knapsack_prices_the_best_pattern():
     prices = np.array([0.1, 0.35, 0.5, 0.0, 0.9])
     p = packing.knapsack(prices, 9)
