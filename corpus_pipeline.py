@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.functions.storage import materialise
 from panelforge.llm import decontam, line_dedup, packing, quality, simhash
-from panelforge.llm.common import table
-from panelforge.llm.queries import tokenizer_path
+from panelforge.llm.common import bounded_batches
+from panelforge.llm.queries import table, tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
+    bounded_batches(spark)
     return simhash.one_of_each(docs)
 
 
@@ -36,6 +37,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents with their sequences."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
