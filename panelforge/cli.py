@@ -12,8 +12,9 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import config
 from .operators import holdout, runner, splits
-from .plans import study
+from .plans import setup, study, views
 from .plans.setup import S
 
 
@@ -43,8 +44,7 @@ def build(args, spark) -> None:
 
 def folds(args, spark) -> None:
     _, days = _development(args, spark)
-    for f in study.build_folds(days):
-        print(f.describe())
+    print("\n".join(splits.described(study.build_folds(days))))
 
 
 def _predictions(args, spark, panel, days):
@@ -82,9 +82,8 @@ def ablate_gate(args, spark) -> None:
 
 
 def look_at_holdout(args, spark) -> None:
-    ledger = holdout.HoldoutLedger(args.ledger)
-    mark = holdout.config_fingerprint({**dataclasses.asdict(S), "models": args.models})
-    print(ledger.warning_banner(mark))
+    mark = holdout.digest_of({**dataclasses.asdict(setup.current()), "models": args.models})
+    print(holdout.caution(holdout.looks(args.ledger), mark))
     if not args.yes and input("Look at the holdout? [y/N] ").strip().lower() != "y":
         return
     panel = study.build_panel(spark, args.tables)
@@ -92,7 +91,7 @@ def look_at_holdout(args, spark) -> None:
     late = splits.split_development(preds, S.holdout)[1]
     table = study.scores(panel, late)
     _show("holdout", table)
-    ledger.record(mark, {r["model"]: r["pinball"] for r in table.collect()}, args.note)
+    holdout.add_look(args.ledger, mark, {r["model"]: r["pinball"] for r in table.collect()}, args.note)
 
 
 COMMANDS = {"build": build, "folds": folds, "bakeoff": bakeoff, "backtest": backtest, "ablate-gate": ablate_gate, "holdout": look_at_holdout}
@@ -105,6 +104,7 @@ def parser() -> argparse.ArgumentParser:
         c = sub.add_parser(name)
         c.add_argument("--tables", required=True)
         c.add_argument("--models", nargs="+", default=["zero", "ridge"])
+        c.add_argument("--config", help="YAML file of settings, see panelforge/config.py")
         c.add_argument("--out")
         c.add_argument("--cached", action="store_true")
         if name == "holdout":
@@ -116,7 +116,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    COMMANDS[args.command](args, _spark())
+    with setup.using(config.read(args.config) if args.config else setup.current()), views.building():
+        COMMANDS[args.command](args, _spark())
     return 0
 
 

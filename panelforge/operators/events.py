@@ -88,7 +88,7 @@ def lag_percentiles(trans: DataFrame, shares: tuple = (0.5, 0.75, 0.9, 0.95, 0.9
 
 def filing_diagnostics(trans: DataFrame, universe: DataFrame) -> DataFrame:
     """One row: shares of late, planned, officer and covered rows, and rows a name and year."""
-    covered = F.broadcast(universe.select("ticker", F.lit(True).alias("_in")))
+    covered = universe.select("ticker").distinct().withColumn("_in", F.lit(True))
     t = trans.join(covered, "ticker", "left")
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     return t.agg(
@@ -196,7 +196,8 @@ def sign_rows(frame: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 
 def sign_test(frame: DataFrame, value: str, keys: list[str], least: int = 30) -> DataFrame:
-    """With the exact two-sided p-value (a few groups, so on the driver); small groups go."""
+    """With the exact two-sided p-value (a few groups, so on the driver); groups under ``least`` rows go:
+    30 for a table's groups, 50 for a report by subset and horizon."""
     rows = sign_rows(frame, value, keys).where(F.col("n") >= least).collect()
     out = [(*[str(x[k]) for k in keys], x["n"], x["median"], x["win"], binomial_two_sided(x["wins"], x["n"])) for x in rows]
     return frame.sparkSession.createDataFrame(out, ", ".join([f"{k} string" for k in keys] + ["n long", "median double", "win double", "p_value double"]))

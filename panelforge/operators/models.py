@@ -69,7 +69,7 @@ class Ridge:
         z = [((F.coalesce(F.col(c), F.lit(m)) - F.lit(mu)) / F.lit(sd)) for c, m, mu, sd in zip(self.features, self.medians, self.means, self.scales)]
         return rows.withColumn("_x", F.array(*z))
 
-    def _gram(self, rows: DataFrame, y: str) -> dict[str, np.ndarray]:
+    def gram(self, rows: DataFrame, y: str) -> dict[str, np.ndarray]:
         """Moments of (x, 1, y), summed in each partition first."""
         k = len(self.features)
 
@@ -121,15 +121,15 @@ class Ridge:
             cut = int(n * 0.8)
             self.alpha = self.alphas[len(self.alphas) // 2]
             if cut >= 50 and n - cut >= 20:
-                head, tail = self._gram(x.where(F.col("_n") < cut), "target"), self._gram(x.where(F.col("_n") >= cut), "target")
+                head, tail = self.gram(x.where(F.col("_n") < cut), "target"), self.gram(x.where(F.col("_n") >= cut), "target")
                 best = np.inf
                 for a in self.alphas:
                     error = self.mean_square(tail, *self.solve(head, a))
                     if error < best:
                         best, self.alpha = error, a
-            self.w, self.b = self.solve(self._gram(x, "target"), self.alpha)
+            self.w, self.b = self.solve(self.gram(x, "target"), self.alpha)
             x = x.withColumn("_e", F.col("target") - self._dot(self.w, self.b)).withColumn("_l", F.ln(F.abs("_e") + 1e-8))
-            self.sw, self.sb = self.solve(self._gram(x, "_l"), self.alpha * 10)
+            self.sw, self.sb = self.solve(self.gram(x, "_l"), self.alpha * 10)
             z = x.select((F.col("_e") / self._scale()).alias("z"))
             self.z = z.agg(F.percentile("z", F.array(*[F.lit(q) for q in self.levels])).alias("q")).first()["q"]
         finally:

@@ -1,21 +1,93 @@
-"""Dates scraped from calendar pages: statement links and month / day cells."""
+"""Dates read from calendar pages: statement links and cells of months and days.
+
+A page is read as the structure it has: panels of a year, in them elements whose class
+names a cell. What a cell says is the text inside its element, however it is nested.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import calendar
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Formats of the calendar pages (fixed values).
-STATEMENT = r"monetary(\d{8})a"
-YEAR = r"(\d{4}) FOMC Meetings"
-MONTH = r'fomc-meeting__month[^>]*>(?:\s*<strong>)?\s*([A-Za-z/]+)'
-DAYS = r'fomc-meeting__date[^>]*>\s*([0-9][0-9\-–—]*)'
-PANEL = '<div class="panel panel-default">'
-MONTHS = [
-    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December",
-]
+# The formats of the calendar pages.
+STATEMENT = r"/monetary(\d{8})a"
+PANEL_CLASS = "panel-default"
+YEAR_WORDS = "FOMC Meetings"
+MONTH_CLASS, DAYS_CLASS = "fomc-meeting__month", "fomc-meeting__date"
 LEAST, MOST = 6, 12
 
+_MONTHS = {name: number for number, name in enumerate(calendar.month_name) if name}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class CalendarPage(HTMLParser):
+    """Panels of a page: year, texts of month cells, texts of day cells."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.panels: list[tuple[int | None, list[str], list[str]]] = []
+        #: Open elements, and what the text inside each is collected for.
+        self.open: list[tuple[str, list[str] | None]] = []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        if tag in _VOID:
+            return
+        names = {n for k, v in attrs if k == "class" and v for n in v.split()}
+        target = None
+        if PANEL_CLASS in names:
+            self.panels.append((None, [], []))
+        elif self.panels:
+            year, months, days = self.panels[-1]
+            wanted = months if MONTH_CLASS in names else days if DAYS_CLASS in names else None
+            if wanted is not None:
+                wanted.append("")
+                target = wanted
+            elif tag == "a" and year is None:
+                target = [""]
+        self.open.append((tag, target))
+
+    def handle_endtag(self, tag: str) -> None:
+        while any(name == tag for name, _ in self.open):
+            name, _ = self.open.pop()
+            if name == tag:
+                return
+
+    def handle_data(self, data: str) -> None:
+        for _, target in reversed(self.open):
+            if target is not None:
+                target[-1] += data
+                self._year(target[-1])
+                return
+
+    def _year(self, heading: str) -> None:
+        """The first heading of a panel that names a year gives the panel's."""
+        first, _, rest = heading.strip().partition(" ")
+        if rest == YEAR_WORDS and first.isdigit() and self.panels[-1][0] is None:
+            self.panels[-1] = (int(first), *self.panels[-1][1:])
+
+
+def last_day(year: int, month: str, days: str) -> str | None:
+    """A meeting's last day as ISO text, in the second month where it straddles two.
+
+    A meeting from December into January ends in the next year. None where a cell names no
+    month or day. Notes after the days do not count.
+    """
+    named = [_MONTHS[m] for m in month.strip().split("/") if m in _MONTHS]
+    said = re.match(r"[\d\s\-\u2013\u2014]*", days.strip())[0]
+    numbers = [int(d) for d in re.findall(r"\d+", said)]
+    if not named or not numbers:
+        return None
+    year += named[0] == 12 and named[-1] == 1
+    return f"{year:04d}-{named[-1]:02d}-{numbers[-1]:02d}"
+
 
 def statement_dates(pages: DataFrame) -> DataFrame:
     """event: dates in statement links; stamps that are no date are left out."""
@@ -23,36 +95,26 @@ def statement_dates(pages: DataFrame) -> DataFrame:
     return pages.select(stamp).select(F.try_to_timestamp("s", F.lit("yyyyMMdd")).cast("date").alias("event")).where("event is not null").distinct()
 
 
-def _month_number(name: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name)
-
-
 def scheduled_dates(pages: DataFrame) -> DataFrame:
-    """event: the last day of each meeting, in the second month where it straddles two.
+    """event: the last day of each meeting; a year whose cells differ in number is left out."""
 
-    A year whose month and day cells differ in number is left out; a meeting from
-    December into January falls in the next year.
-    """
-    panels = pages.select(F.explode(F.split("html", PANEL)).alias("p")).select(
-        F.regexp_extract("p", YEAR, 1).alias("y"),
-        F.regexp_extract_all("p", F.lit(MONTH), 1).alias("months"),
-        F.regexp_extract_all("p", F.lit(DAYS), 1).alias("days"),
-    )
-    even = panels.where((F.col("y") != "") & (F.size("months") == F.size("days")))
-    cells = even.select(F.col("y").cast("int").alias("y"), F.explode(F.arrays_zip("months", "days")).alias("c"))
-    names = F.filter(F.split("c.months", "/"), lambda m: _month_number(m) > 0)
-    parts = F.filter(F.split("c.days", "[-–—]"), lambda d: d.rlike("^[0-9]+$"))
-    m = cells.select("y", names.alias("m"), parts.alias("d")).where((F.size("m") > 0) & (F.size("d") > 0))
-    first, last = F.get("m", F.lit(0)), F.element_at("m", -1)
-    year = F.col("y") + F.when((last == "January") & (first == "December"), 1).otherwise(0)
-    text = F.concat_ws("-", year.cast("string"), _month_number(last).cast("string"), F.element_at("d", -1))
-    return m.select(F.try_to_timestamp(text, F.lit("y-M-d")).cast("date").alias("event")).where("event is not null").distinct()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[str] = []
+            for html in batch.column("html").to_pylist():
+                for year, months, days in CalendarPage(html or "").panels:
+                    if year is not None and len(months) == len(days):
+                        found += filter(None, (last_day(year, m, d) for m, d in zip(months, days)))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["day"])
+
+    days = pages.select("html").mapInArrow(read, "day string")
+    return days.select(F.try_to_timestamp("day", F.lit("yyyy-MM-dd")).cast("date").alias("event")).where("event is not null").distinct()
 
 
 def accepted_years(dates: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
     """Dates of the years that have a believable number of them."""
     years = dates.groupBy(F.year("event").alias("y")).agg(F.count("*").alias("n")).where(F.col("n").between(least, most))
-    return dates.join(F.broadcast(years), F.year("event") == F.col("y"), "left_semi")  # a row a year
+    return dates.join(years, F.year("event") == F.col("y"), "left_semi")
 
 
 def collect_dates(pages: DataFrame) -> DataFrame:

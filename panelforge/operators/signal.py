@@ -12,6 +12,8 @@ from ..functions.colops import by_date, centred_rank
 from .scoring import LEVELS, column_of, cross_zscore, nearest
 
 STEPS = 64
+#: Digits of rounded expected returns: sums of quantiles of thirteen digits have fifteen.
+MU_DIGITS = 15
 
 
 def expected_return(levels: Sequence[float] = LEVELS) -> Column:
@@ -82,11 +84,16 @@ def to_weights(
 
 def build_signal(
     preds: DataFrame, levels: Sequence[float] = LEVELS, gross_leverage: float = 1.0, max_weight: float = 0.05,
-    method: str = "rank", mask: str | None = None,
+    method: str = "rank", mask: str | None = None, digits: int | None = None,
 ) -> DataFrame:
-    """Adds mu, width, score (of unmasked names only) and weight (0 elsewhere)."""
-    out = preds.withColumn("mu", expected_return(levels)).withColumn("width", interval_width(levels))
+    """Adds mu, width, score (of unmasked names only) and weight (0 elsewhere).
+
+    With ``digits`` expected returns are rounded to ``MU_DIGITS`` places and weights to so many.
+    """
+    mu = expected_return(levels)
+    out = preds.withColumn("mu", F.round(mu, MU_DIGITS) if digits else mu).withColumn("width", interval_width(levels))
     allowed = F.col("mu") if mask is None else F.when(F.coalesce(mask, F.lit(False)), F.col("mu"))
     out = out.withColumn("_mu", allowed).withColumn("score", cross_sectional_score(F.col("_mu"), method)).drop("_mu")
     weights = to_weights(out, "score", gross_leverage, max_weight)
-    return out.join(weights, ["date", "ticker"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    weight = F.coalesce("weight", F.lit(0.0))
+    return out.join(weights, ["date", "ticker"], "left").withColumn("weight", F.round(weight, digits) if digits else weight)

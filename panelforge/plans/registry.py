@@ -5,21 +5,25 @@ Doubles are rounded on both sides, so that sums taken in another order compare e
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.colops import average_rank, by_ticker, rolling
 from ..functions.colops import r as rounded
+from ..functions.colops import rolling
+from ..functions.storage import materialise, shared_folder
 from ..operators import backtest as bt
 from ..operators import events as ev
 from ..operators import features as ft
 from ..operators import gate, models, pages, runner, scoring, signal, splits
 from ..operators import targets as tg
 from ..sources import bars as src
+from ..sources import filings as fl
 from . import oracles as o
 from . import views as v
 from .setup import LEVELS, S
@@ -27,7 +31,7 @@ from .setup import LEVELS, S
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
 KEY = ["date", "ticker"]
 #: Digits of expected returns: sums of quantiles of thirteen digits have fifteen, so no tie is rounded.
-MU = 15
+MU = signal.MU_DIGITS
 
 
 def query(oracle: str | None = None):
@@ -38,6 +42,22 @@ def query(oracle: str | None = None):
     return keep
 
 
+def _built(f: Callable) -> Callable:
+    """``f`` with what its branches share built once."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        with v.building():
+            return f(spark, sf)
+
+    return run
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    """A folder of its own for what a query writes and reads back."""
+    return f"{shared_folder(spark)}/panelforge/{name}-{uuid.uuid4().hex}"
+
+
 def out(df: DataFrame, keys: list[str], values: list[str], digits: int = 6) -> DataFrame:
     return df.select(*keys, *[rounded(F.col(c), digits).alias(c) for c in values])
 
@@ -84,11 +104,9 @@ def universe_missing(spark, sf):
     return src.missing_tickers(v.bars(spark, sf), wanted)
 
 
-@query(o.sql("SELECT date, " + ", ".join(f"max(CASE WHEN ticker = 'T{i:02d}' THEN close END) AS T{i:02d}" for i in (0, 1, 2)) + " FROM bars GROUP BY date"))
+@query(o.sql("SELECT date, " + ", ".join(f"max(CASE WHEN ticker = 'T{i:02d}' THEN close END) AS T{i:02d}" for i in range(S.names)) + " FROM bars GROUP BY date"))
 def wide_closes(spark, sf):
-    b = v.bars(spark, sf).where(F.col("ticker").isin("T00", "T01", "T02"))
-    dates = v.bars(spark, sf).select("date").distinct()
-    return dates.join(src.to_wide(b, "close", ["T00", "T01", "T02"]), "date", "left")
+    return src.to_wide(v.bars(spark, sf), "close", [f"T{i:02d}" for i in range(S.names)])
 
 
 @query(osql("date, ticker", ["ret", "rv"], "x", x=f"SELECT *, {o.roll('stddev_samp', 'ret', 20)} AS rv FROM ret_d"))
@@ -183,7 +201,7 @@ def days_to_event(spark, sf):
     return ft.days_to_next(v.grid(spark, sf).select("date").distinct(), src.event_dates(spark))
 
 
-_RANKS = ["reversal_1d", "rv_20d", "volume_z"]
+_RANKS = [c for c in ft.STOCK if c != "overnight_gap"]
 
 
 @query(osql("date, ticker", _RANKS, "y", y="SELECT date, ticker, " + ", ".join(f"{o.crank(c)} AS {c}" for c in _RANKS) + " FROM x",
@@ -193,7 +211,6 @@ def cross_sectional_rank(spark, sf):
     return out(ft.cross_sectional_rank(s, _RANKS), KEY, _RANKS)
 
 
-_STOCK = [c for c in ft.STOCK if c != "overnight_gap"]
 _DESIGN = [*ft.STOCK, *[c for cs in _DATED.values() for c in cs], "dow_sin", "dow_cos", "tom_start", "tom_end", "days_to_fomc", "fomc_window"]
 _ROW = (
     "SELECT t.date, t.ticker, t.target, " + ", ".join(f"t.{c}" for c in ft.STOCK) + ", " + ", ".join(f"m.{c}" for cs in _DATED.values() for c in cs)
@@ -202,12 +219,16 @@ _ROW = (
 _SHARE = "(" + " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in _DESIGN) + f") / {float(len(_DESIGN))}::DOUBLE"
 
 
-@query(o.sql(f"SELECT date, ticker, CAST({' + '.join(f'CAST({c} IS NOT NULL AS INTEGER)' for c in _DESIGN)} AS BIGINT) AS n_features,"
-             f" {o.r('mkt_rv_20d')} AS mkt_rv_20d, {o.r('days_to_fomc')} AS days_to_fomc FROM row1", row1=_ROW))
+_WHOLE = {"rk0": "SELECT date, ticker, target, " + ", ".join(f"round({c}, 8) AS {c}" for c in ft.STOCK) + " FROM tgt",
+          "rk": "SELECT date, ticker, target, " + ", ".join(f"{o.crank(c)} AS {c}" for c in ft.STOCK) + " FROM rk0"}
+
+
+@query(o.sql("SELECT t.date, t.ticker, " + ", ".join(f"{o.r(f't.{c}')} AS {c}" for c in ["target", *ft.STOCK]) + ", "
+             + ", ".join(f"{o.r(f'm.{c}')} AS {c}" for cs in _DATED.values() for c in cs) + ", "
+             + ", ".join(f"{o.r(f'c.{c}')} AS {c}" for c in ("dow_sin", "dow_cos", "tom_start", "tom_end", "days_to_fomc", "fomc_window"))
+             + " FROM rk t LEFT JOIN mf m ON m.date = t.date LEFT JOIN cf c ON c.date = t.date", **_WHOLE))
 def design_matrix(spark, sf):
-    d = v.design(spark, sf)
-    n = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("long") for c in _DESIGN])
-    return d.select(*KEY, n.alias("n_features"), rounded(F.col("mkt_rv_20d")).alias("mkt_rv_20d"), rounded(F.col("days_to_fomc")).alias("days_to_fomc"))
+    return out(v.design(spark, sf, 8), KEY, ["target", *_DESIGN])
 
 
 @query(o.sql(f"SELECT date, ticker, {o.r('target')} AS target FROM row1 WHERE target IS NOT NULL AND {_SHARE} >= 0.8", row1=_ROW))
@@ -215,11 +236,11 @@ def usable_rows(spark, sf):
     return out(ft.usable_rows(v.design(spark, sf), _DESIGN), KEY, ["target"])
 
 
-_COV = ["mkt_ret", "sec_ret", "volume_z", "realized_vol", "vix", "rate_10y", "breadth"]
+_COV = ["mkt_ret", "sec_ret", "peer_ret", "volume_z", "realized_vol", "vix", "rate_10y", "breadth"]
 
 
 @query(osql("date, ticker", _COV, "y", y="SELECT date, ticker, " + ", ".join(f"coalesce({o.pad(c)}, 0.0) AS {c}" for c in _COV) + " FROM x", x=(
-    "SELECT s.date, s.ticker, s.mkt_ret, s.sec_ret, s.volume_z, s.rv_20d AS realized_vol, ln(d.vix) AS vix, d.tnx AS rate_10y, d.breadth FROM st s LEFT JOIN dat d ON d.date = s.date")))
+    "SELECT s.date, s.ticker, s.mkt_ret, s.sec_ret, coalesce((sum(s.ret) OVER w - coalesce(s.ret, 0)) / nullif(count(s.ret) OVER w - CASE WHEN s.ret IS NULL THEN 0 ELSE 1 END, 0), 0.0) AS peer_ret, s.volume_z, s.rv_20d AS realized_vol, ln(d.vix) AS vix, d.tnx AS rate_10y, d.breadth FROM st s LEFT JOIN dat d ON d.date = s.date WINDOW w AS (PARTITION BY s.date, s.sector)")))
 def covariates_filled(spark, sf):
     c = ft.covariates(tg.peer_returns(v.panel(spark, sf)), v.dates(spark, sf))
     return out(c, KEY, _COV)
@@ -245,14 +266,16 @@ _FOLDS = {
 
 @query(o.sql("SELECT fold, train_start, train_end, test_start, test_end FROM folds", **_FOLDS))
 def folds_schedule(spark, sf):
-    rows = [(f.index, *f.train_span, *f.test_span) for f in _folds(spark, sf)]
-    return spark.createDataFrame(rows, "fold int, train_start date, train_end date, test_start date, test_end date")
+    return splits.fold_table(spark, _folds(spark, sf)).drop("n_train", "n_test")
 
 
 @query(o.sql("SELECT fold, n_train, n_test FROM folds", **_FOLDS))
 def fold_row_counts(spark, sf):
-    t = splits.fold_table(spark, _folds(spark, sf))
-    return t.groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test"))
+    """Dates of the calendar that lie in each fold's bounds."""
+    days, t = v.grid(spark, sf).select("date").distinct(), splits.fold_table(spark, _folds(spark, sf)).drop("n_train", "n_test")
+    found = days.join(F.broadcast(t), F.col("date").between(F.col("train_start"), F.col("test_end")))  # a row for each fold
+    trained, tested = (F.count_if(F.col("date").between(F.col(f"{x}_start"), F.col(f"{x}_end"))) for x in ("train", "test"))
+    return found.groupBy("fold").agg(trained.alias("n_train"), tested.alias("n_test"))
 
 
 @query(o.sql("SELECT fold, true AS clean FROM folds WHERE test_start > train_end + 2", **_FOLDS))
@@ -260,7 +283,7 @@ def leakage_check(spark, sf):
     folds = _folds(spark, sf)
     for f in folds:
         splits.assert_no_leakage(f, tg.label_end_offset(S.horizon, S.lag))
-    return spark.createDataFrame([(f.index, True) for f in folds], "fold int, clean boolean")
+    return spark.createDataFrame([(f.fold, True) for f in folds], "fold int, clean boolean")
 
 
 @query(o.sql(f"SELECT date < DATE '{S.holdout}' AS development, count(*) AS n, min(date) AS first, max(date) AS last FROM cal GROUP BY 1"))
@@ -309,9 +332,13 @@ def tail_mass(spark, sf):
     return out(scoring.tail_mass(v.preds(spark, sf)), [], ["tail_mass", "excess"])
 
 
-@query()
+_HIST = {"pit": o.CTE["pit"], "hist": f"SELECT {_BIN} AS bin, count(*) AS c FROM pit GROUP BY 1",
+         "chi": "SELECT sum((coalesce(h.c, 0) - n * 0.1::DOUBLE) * (coalesce(h.c, 0) - n * 0.1::DOUBLE) / (n * 0.1::DOUBLE)) AS chi2 FROM (SELECT CAST(i AS INTEGER) AS bin FROM range(0, 10) t(i)) b LEFT JOIN hist h ON h.bin = b.bin CROSS JOIN (SELECT count(*) AS n FROM pit) k"}
+
+
+@query(o.sql(f"SELECT 'synthetic' AS model, {o.r('max(chi2)', 4)} AS chi2, {o.r(f'greatest(0.0, 1 - sum(exp(({len(LEVELS)} / 2.0::DOUBLE + n) * ln(chi2 / 2) - chi2 / 2 - lgamma({len(LEVELS)} / 2.0::DOUBLE + n + 1))))')} AS p_value FROM chi CROSS JOIN range(0, 20000) t(n)", **_HIST))
 def pit_pvalue(spark, sf):
-    return scoring.pit_p_values(v.preds(spark, sf).withColumn("model", F.lit("synthetic")))
+    return out(scoring.pit_p_values(v.preds(spark, sf).withColumn("model", F.lit("synthetic"))), ["model"], ["chi2", "p_value"], 6).withColumn("chi2", F.round("chi2", 4))
 
 
 @query(osql("date, n", ["ic"], "ic"))
@@ -353,9 +380,18 @@ def skill_vs_null(spark, sf):
     return scored.where("model = 'synthetic'").select(rounded(F.col("skill")).alias("skill"))
 
 
-@query()
+_BUNDLE = ["pinball", "coverage", "width", "chi2", "tail_mass", "excess", *_IC, "accuracy"]
+
+
+@query(osql("'synthetic' AS model, n_days", _BUNDLE, "bun", 5, **_HIST, bun=(
+    "SELECT a.pinball, b.coverage, b.width, c.chi2, d.tail_mass, d.tail_mass - 0.2 AS excess, e.*, f.accuracy FROM bn1 a CROSS JOIN bn2 b CROSS JOIN chi c CROSS JOIN bn4 d CROSS JOIN bn5 e CROSS JOIN bn6 f"),
+    bn1="SELECT avg(greatest(level * (y - q), (level - 1) * (y - q))) AS pinball FROM unp",
+    bn2="SELECT avg(CAST(y BETWEEN q10 AND q90 AS DOUBLE)) AS coverage, avg(q90 - q10) AS width FROM scr",
+    bn4="SELECT avg(CAST(pit <= 0.1::DOUBLE OR pit >= 0.9::DOUBLE AS DOUBLE)) AS tail_mass FROM pit",
+    bn5="SELECT avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS ic_t, avg(CAST(ic > 0 AS DOUBLE)) AS ic_hit, count(ic) AS n_days FROM ic",
+    bn6="SELECT avg(CAST(sign(q50) = sign(y) AS DOUBLE)) AS accuracy FROM scr WHERE q50 <> 0"))
 def evaluation_bundle(spark, sf):
-    return scoring.evaluate(v.preds(spark, sf).withColumn("model", F.lit("synthetic")))
+    return out(scoring.evaluate(v.preds(spark, sf).withColumn("model", F.lit("synthetic"))), ["model", "n_days"], _BUNDLE, 5)
 
 
 # Models
@@ -363,8 +399,7 @@ def evaluation_bundle(spark, sf):
 
 @query(o.sql("SELECT " + ", ".join(f"{o.r(f'z{i}')} AS {scoring.column_of(x)}" for i, x in enumerate(LEVELS)) + " FROM zq", zq=_ZQ))
 def zero_model_quantiles(spark, sf):
-    q = _zero_frame(spark, sf).limit(1)  # the same for every row
-    return out(q, [], [scoring.column_of(x) for x in LEVELS])
+    return out(_zero_frame(spark, sf), [], [scoring.column_of(x) for x in LEVELS]).distinct()  # the same for every row
 
 
 _RX = ["reversal_1d", "rv_20d", "mkt_rv_20d"]
@@ -377,14 +412,17 @@ def ridge_gram(spark, sf):
     s = tg.forward_target(v.stock(spark, sf), S.horizon, S.lag)
     m = ft.market_features(v.dates(spark, sf), v.AUX).select("date", "mkt_rv_20d")
     x = s.join(m, "date").where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*_RX, "target"]]))
-    pairs = [rounded(F.sum(F.col(a) * F.col(b)), 4).alias(f"s_{i}{j}") for i, a in enumerate(_RX) for j, b in enumerate(_RX) if i <= j]
-    return x.agg(*pairs, *[rounded(F.sum(F.col(a) * F.col("target")), 4).alias(f"t_{i}") for i, a in enumerate(_RX)], F.count("*").alias("n"))
+    m = models.Ridge()
+    m.features = _RX
+    g = m.gram(x.withColumn("_x", F.array(*_RX)), "target")
+    k = len(_RX)
+    found = {f"s_{i}{j}": g[i, j] for i in range(k) for j in range(i, k)} | {f"t_{i}": g[i, -1] for i in range(k)}
+    row = spark.createDataFrame([tuple(map(float, found.values())) + (int(g[-2, -2]),)], ", ".join([f"{c} double" for c in found] + ["n long"]))
+    return row.select(*[rounded(F.col(c), 4).alias(c) for c in found], "n")
 
 
 def _fitted(spark, sf, name: str, **settings) -> DataFrame:
     """Every fold's test rows predicted, with all features, by a model fitted on its training rows."""
-    from ..functions.storage import materialise
-
     d = materialise(ft.usable_rows(v.design(spark, sf), _DESIGN, 0.5), "design")
     return runner.run_walk_forward(d, _DESIGN, _folds(spark, sf), [name], {name: settings})
 
@@ -501,7 +539,7 @@ def gate_overlap(spark, sf):
     return out(gate.gate_overlap(v.gated(spark, sf), "gate_width", "gate_vol", "width", "vol"), [], _OV)
 
 
-_VARIANTS = ["gate_none", "gate_width", "gate_vol", "gate_random"]
+_VARIANTS = runner.MASKS
 _BOOKS = {
     "bk0": " UNION ALL ".join(f"SELECT '{g}' AS book, date, ticker, CASE WHEN {g} THEN round(mu, {MU}) END AS mu FROM gat" for g in _VARIANTS),
     "bk1": f"SELECT book, date, ticker, {o.crank('mu', 'book, date')} AS score FROM bk0",
@@ -546,26 +584,12 @@ _BOOKS = {
 
 def _weights(spark, sf) -> DataFrame:
     """Target weights of the four gate variants as one frame of books."""
-    from ..functions.storage import materialise
-
-    g = materialise(v.gated(spark, sf).withColumn("mu", F.round(signal.expected_return(), MU)), "gates")
-    labels = F.array(*[F.struct(F.lit(m).alias("book"), F.when(F.col(m), F.col("mu")).alias("mu")) for m in _VARIANTS])
-    rows = g.select(*KEY, F.explode(labels).alias("b")).select("b.book", *KEY, "b.mu")
-    n = F.count("mu").over(Window.partitionBy("book", "date"))
-    scored = rows.withColumn("score", (average_rank(F.col("mu"), "book", "date") - (n + 1) / 2) / n)
-    w = signal.to_weights(scored, "score", S.gross, S.cap, keys=["book", "date"])
-    return rows.select("book", *KEY).join(w, ["book", *KEY], "left").withColumn("weight", F.round(F.coalesce("weight", F.lit(0.0)), 8))
-
+    return runner.book_weights(v.gated(spark, sf), runner.MASKS, S.gross, S.cap, v.DIGITS)
 
-def _daily(spark, sf) -> DataFrame:
-    from ..functions.storage import materialise
 
-    p = materialise(v.residuals(spark, sf), "panel")
-    legs = p.select("date", F.col("sector").alias("leg"), F.col("sec_ret").alias("leg_ret")).distinct()
-    legs = legs.unionByName(p.select("date", F.lit("MKT").alias("leg"), F.col("mkt_ret").alias("leg_ret")).distinct())
-    w = materialise(_weights(spark, sf), "weights")
-    d = bt.simulate(w, p, p.select(*KEY, "sector", "beta_mkt", "beta_sector"), legs, S.lag, S.cost, S.spread, S.borrow, S.turnover)
-    return bt.within(d, w)
+def _daily(spark, sf, masks: list[str]) -> DataFrame:
+    panel = materialise(v.residuals(spark, sf), "panel")
+    return runner.backtest_predictions(v.gated(spark, sf), panel, v.leg_returns(spark, sf), masks, digits=v.DIGITS, **v.options())
 
 
 @query(_recursive(osql("book, date, ticker", ["weight"], "cap", **_BOOKS)))
@@ -585,12 +609,12 @@ _DAILY = ["gross", "cost", "turnover", "net", "exposure"]
 
 @query(_recursive(osql("book, date", _DAILY, "daily", 5, **_BOOKS)))
 def book_daily_pnl(spark, sf):
-    return out(_daily(spark, sf), ["book", "date"], _DAILY, 5)
+    return out(_daily(spark, sf, runner.MASKS), ["book", "date"], _DAILY, 5)
 
 
 @query(_recursive(osql("book, date", ["equity", "drawdown"], "eq", 4, **_BOOKS)))
 def equity_drawdown(spark, sf):
-    return out(bt.equity_curve(_daily(spark, sf)), ["book", "date"], ["equity", "drawdown"], 4)
+    return out(bt.equity_curve(_daily(spark, sf, runner.MASKS)), ["book", "date"], ["equity", "drawdown"], 4)
 
 
 _METRICS = [
@@ -601,12 +625,14 @@ _METRICS = [
 
 @query(_recursive(osql("book, n_days", _METRICS, "pm", 3, **_BOOKS)))
 def gate_ablation(spark, sf):
-    return out(bt.performance_metrics(_daily(spark, sf)), ["book", "n_days"], _METRICS, 3)
+    panel = materialise(v.residuals(spark, sf), "panel")
+    metrics, _ = runner.ablate_gate(v.preds(spark, sf), panel, v.leg_returns(spark, sf), S.share, S.gate_least, v.noise(), v.DIGITS, **v.options())
+    return out(metrics, ["book", "n_days"], _METRICS, 3)
 
 
 @query(_recursive(osql("n_days", _METRICS, "pm", 3, "WHERE book = 'gate_width'", **_BOOKS)))
 def performance_metrics(spark, sf):
-    return out(bt.performance_metrics(_daily(spark, sf).where("book = 'gate_width'")), ["n_days"], _METRICS, 3)
+    return out(bt.performance_metrics(_daily(spark, sf, ["gate_width"])), ["n_days"], _METRICS, 3)
 
 
 # Filings and the event study
@@ -655,10 +681,10 @@ def study_events(spark, sf):
     return e.select("filing_date", "ticker", "n_insiders", rounded(F.col("total_value"), 6).alias("total_value"), "any_officer", "any_ceo_cfo", "is_cluster")
 
 
-@query(o.sql("SELECT ticker, count(*) AS n FROM evt GROUP BY ticker ORDER BY n DESC, ticker LIMIT 5"))
+@query(o.sql("SELECT ticker, count(*) AS n FROM evt GROUP BY ticker ORDER BY n DESC, ticker LIMIT 12"))
 def top_event_tickers(spark, sf):
     t = v.transactions(spark, sf).where("trans_code = 'P' and not is_planned and price >= 1.0")
-    return ev.top_tickers(ev.event_rows(t), 5)
+    return ev.top_tickers(ev.event_rows(t), 12)
 
 
 @query(o.sql("SELECT filing_date, ticker, entry_date FROM ent"))
@@ -727,9 +753,34 @@ def event_subsets(spark, sf):
     return out(ev.sign_rows(ev.subset_labels(v.study(spark, sf)), _AR1, ["subset"]), ["subset", "n"], ["median", "win"])
 
 
-@query()
+_SUBSETS = (("all", "true"), ("cluster", "is_cluster"), ("single", "NOT is_cluster"), ("officer", "any_officer"), ("ceo_cfo", "any_ceo_cfo"), ("100k", "total_value >= 1e5"), ("1m", "total_value >= 1e6"))
+
+
+def _signs(columns: list[str], least: int) -> str:
+    """Rows by subset and column with the exact two-sided p-value, in SQL."""
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS subset, '{c}' AS col, {c} AS x FROM sdy WHERE ({w}) AND {c} IS NOT NULL" for n, w in _SUBSETS for c in columns)
+    tail = "(SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2.0::DOUBLE))) FROM range(0, 100000) t(i) WHERE i <= least(wins, n - wins))"
+    return o.sql(
+        f"SELECT subset, col, n, {o.r('med')} AS median, {o.r('win')} AS win, {o.r(f'least(1.0, 2 * {tail})')} AS p_value FROM sg",
+        sr=rows, sg=f"SELECT subset, col, count(*) AS n, median(x) AS med, avg(CAST(x > 0 AS DOUBLE)) AS win, count(*) FILTER (WHERE x > 0) AS wins FROM sr GROUP BY subset, col HAVING count(*) >= {least}",
+    )
+
+
+def _reported(spark, sf, columns: list[str], least: int) -> DataFrame:
+    s = materialise(ev.subset_labels(v.study(spark, sf)), "subsets")
+    parts = [ev.sign_test(s, c, ["subset"], least).withColumn("col", F.lit(c)) for c in columns]
+    return out(reduce(DataFrame.unionByName, parts), ["subset", "col", "n"], ["median", "win", "p_value"])
+
+
+@query(_signs([_AR1], 30))
 def sign_test(spark, sf):
-    return ev.sign_test(ev.subset_labels(v.study(spark, sf)), _AR1, ["subset"])
+    return _reported(spark, sf, [_AR1], 30)
+
+
+@query(_signs([*_AR, *_SPY], 50))
+def event_report(spark, sf):
+    """Every subset over every horizon, against both benchmarks; groups of 50 rows or more."""
+    return _reported(spark, sf, [*_AR, *_SPY], 50)
 
 
 @query(o.sql("SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS n_links, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages"))
@@ -737,32 +788,105 @@ def page_link_scrape(spark, sf):
     return pages.link_counts(v.table(spark, sf, "pages"))
 
 
-@query(o.sql("SELECT d AS event FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) a WHERE year(d) IN (SELECT year(d) FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) b GROUP BY 1 HAVING count(*) BETWEEN 300 AND 366)"))
-def page_date_scrape(spark, sf):
-    """A calendar page for each customer, with a statement link for each order."""
-    link = F.concat(F.lit('<a href="/newsevents/monetary'), F.date_format("o_orderdate", "yyyyMMdd"), F.lit('a.htm">Statement</a>'))
-    made = v.table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(link), " ").alias("html"))
-    return pages.accepted_years(pages.statement_dates(made), 300, 366)
+_CALENDAR = {
+    "mon": "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, min(day(o_orderdate)) AS a, max(day(o_orderdate)) AS b FROM orders GROUP BY 1, 2",
+    "evs": "SELECT CASE WHEN m % 3 = 0 AND m = 12 THEN make_date(y + 1, 1, 1) WHEN m % 3 = 0 THEN make_date(y, m + 1, 1) ELSE make_date(y, m, b) END AS event FROM mon"
+           " UNION SELECT make_date(y, m, a) FROM mon WHERE y % 2 = 0 AND m <= 4",
+    "yrs": "SELECT year(event) AS y FROM evs GROUP BY 1 HAVING count(*) BETWEEN 6 AND 12",
+}
 
 
-@query(o.sql("SELECT date, ticker, s[1] AS q10, s[2] AS q20, s[3] AS q30 FROM (SELECT date, ticker, list_sort([q30, q10, q20]) AS s FROM prd) x"))
+@query(o.sql("SELECT event FROM evs WHERE year(event) IN (SELECT y FROM yrs)", **_CALENDAR))
+def page_date_scrape(spark, sf):
+    """A calendar page of a panel a year: cells of each month with orders, every third meeting into
+    the next month, and statement links in even years, which push some years beyond the limit."""
+    d = F.col("o_orderdate")
+    months = v.table(spark, sf, "orders").groupBy(F.year(d).alias("y"), F.month(d).alias("m")).agg(F.min(F.day(d)).alias("a"), F.max(F.day(d)).alias("b"))
+    name = lambda m: F.date_format(F.make_date(F.lit(2000), m, F.lit(1)), "MMMM")
+    over = F.col("m") % 3 == 0
+    month = F.when(over, F.concat(name(F.col("m")), F.lit("/"), name(F.col("m") % 12 + 1))).otherwise(name(F.col("m")))
+    days = F.when(over, F.concat(F.col("b").cast("string"), F.lit("\u20131*"))).otherwise(F.concat(F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string"), F.lit(" (notation vote)")))
+    stamp = F.date_format(F.make_date("y", "m", "a"), "yyyyMMdd")
+    link = F.when((F.col("y") % 2 == 0) & (F.col("m") <= 4), F.concat(F.lit('<a href="/newsevents/pressreleases/monetary'), stamp, F.lit('a.htm">Statement</a>'))).otherwise("")
+    cell = F.concat(F.lit('<div class="row"><div class="fomc-meeting__month col"><strong>'), month, F.lit('</strong></div><div class="fomc-meeting__date col">'), days, F.lit("</div>"), link, F.lit("</div>"))
+    panels = months.groupBy("y").agg(F.array_join(F.sort_array(F.collect_list(F.struct("m", cell.alias("c")))).getField("c"), "").alias("cells"))
+    head = F.concat(F.lit('<div class="panel panel-default"><div><h4><a id="1">'), F.col("y").cast("string"), F.lit(" FOMC Meetings</a></h4></div>"))
+    page = panels.select(F.concat(head, "cells", F.lit("</div>")).alias("p")).agg(F.array_join(F.collect_list("p"), "").alias("html"))
+    return pages.collect_dates(page)
+
+
+_QS = [scoring.column_of(x) for x in LEVELS]
+
+
+@query(o.sql("SELECT date, ticker, " + ", ".join(f"s[{i + 1}] AS {q}" for i, q in enumerate(_QS)) + " FROM (SELECT date, ticker, list_sort([" + ", ".join(_QS) + "]) AS s FROM prd) x"))
 def quantiles_sorted(spark, sf):
-    p = v.preds(spark, sf).select(*KEY, F.col("q30").alias("q10"), F.col("q10").alias("q20"), F.col("q20").alias("q30"))
-    return scoring.sorted_quantiles(p, [0.1, 0.2, 0.3])
+    """All nine quantiles, given in another order."""
+    p = v.preds(spark, sf).select(*KEY, *[F.col(_QS[(4 * i + 3) % len(_QS)]).alias(q) for i, q in enumerate(_QS)])
+    return scoring.sorted_quantiles(p, LEVELS)
 
 
-@query(o.sql("SELECT model, count(*) AS n FROM (SELECT 'zero' AS model UNION ALL SELECT 'ridge' UNION ALL SELECT 'ridge') t GROUP BY 1"))
+@query(o.sql("SELECT 'shifted' AS model, date, ticker, q10, q50 + 1 AS q50, q90 FROM prd UNION ALL SELECT 'synthetic' AS model, date, ticker, q10, q50, q90 FROM prd"))
 def predictions_round_trip(spark, sf):
-    """Predictions written by model and read back, absent models skipped."""
-    from ..functions.storage import shared_folder
+    """Forecasts written by model and read back, absent models skipped."""
+    p = v.preds(spark, sf).select(*KEY, "q10", "q50", "q90")
+    folder = _fresh(spark, "predictions")
+    runner.save_predictions(p.withColumn("model", F.lit("synthetic")).unionByName(p.withColumn("q50", F.col("q50") + 1).withColumn("model", F.lit("shifted"))), folder)
+    return runner.load_predictions(spark, folder, ["synthetic", "shifted", "gbm"])
+
+
+# Sinks and caches, written and read back
+
+
+@query(osql(_TKEYS, ["shares", "price", "value_usd"], "trn", 10))
+def transactions_sink(spark, sf):
+    folder = _fresh(spark, "transactions")
+    fl.write_sorted(v.transactions(spark, sf), folder, ["filing_date", "ticker", "accession"])
+    return out(spark.read.parquet(folder), _TK, ["shares", "price", "value_usd"], 10)
+
+
+@query(o.sql("SELECT filing_date, ticker, count(DISTINCT accession) AS n_filings FROM trn WHERE NOT is_planned GROUP BY 1, 2"))
+def daily_panel_sink(spark, sf):
+    folder = _fresh(spark, "insider-panel")
+    fl.write_sorted(ev.daily_panel(v.transactions(spark, sf)), folder, ["filing_date", "ticker"])
+    return spark.read.parquet(folder).select("filing_date", "ticker", "n_filings")
+
+
+@query(osql("filing_date, ticker, entry_date", [*_AR, *_SPY], "sdy"))
+def study_sink(spark, sf):
+    folder = _fresh(spark, "study")
+    fl.write_sorted(v.study(spark, sf), folder, ["entry_date", "ticker"])
+    return out(spark.read.parquet(folder), ["filing_date", "ticker", "entry_date"], [*_AR, *_SPY])
+
+
+@query(o.sql("SELECT ticker, date, close, CASE WHEN CAST(substr(ticker, 2, 2) AS INTEGER) < 6 THEN volume ELSE volume + 1 END AS volume FROM bars"))
+def cache_append(spark, sf):
+    """Half the names cached, then all of them with other volumes: what was there stays."""
+    b, folder = v.bars(spark, sf).select("ticker", "date", "close", "volume"), _fresh(spark, "bars")
+    src.save_panel(b.where(F.substring("ticker", 2, 2).cast("int") < 6), folder)
+    src.save_panel(b.withColumn("volume", F.col("volume") + 1), folder)
+    return spark.read.parquet(folder).select("ticker", "date", "close", "volume")
+
+
+@query(o.sql("SELECT ticker, date, volume FROM bars WHERE CAST(substr(ticker, 2, 2) AS INTEGER) < 11"))
+def cache_coverage(spark, sf):
+    """A cache that holds eleven of twelve names, over nine tenths, is used as it is."""
+    b, folder = v.bars(spark, sf).select("ticker", "date", "volume"), _fresh(spark, "bars")
+    names = [f"T{i:02d}" for i in range(S.names)]
+    src.covering(spark, folder, names[:5], lambda wanted: b.where(F.col("ticker").isin(wanted)))
+    src.covering(spark, folder, names[:11], lambda wanted: b.where(F.col("ticker").isin(wanted)))
+    return src.covering(spark, folder, names, lambda wanted: b).select("ticker", "date", "volume")
+
 
-    folder = f"{shared_folder(spark)}/panelforge/round-trip"
-    runner.save_predictions(spark.createDataFrame([("zero", 0.1), ("ridge", 0.2), ("ridge", 0.3)], "model string, q50 double"), folder)
-    return runner.load_predictions(spark, folder, ["zero", "ridge", "gbm"]).groupBy("model").agg(F.count("*").alias("n"))
+@query(o.sql("SELECT event FROM eve"))
+def event_dates_csv(spark, sf):
+    """Event dates written as CSV and read back; a file that is not there gives none."""
+    folder = _fresh(spark, "events")
+    src.write_event_dates(src.event_dates(spark), folder)
+    return src.read_event_dates(spark, folder).unionByName(src.read_event_dates(spark, f"{folder}-none"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _FOUND.items()}
+    return {k: _built(f) for k, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,8 +1,10 @@
-"""Parameters of the registered queries: windows for weekly bars of twelve names."""
+"""Parameters of queries and commands: by default windows for weekly bars of twelve names."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import contextlib
+import contextvars
+from dataclasses import dataclass, field
 from statistics import NormalDist
 
 LEVELS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
@@ -32,7 +34,33 @@ class Setup:
     spread: float = 2.0
     borrow: float = 50.0
     holdout: str = "2000-07-01"
-    event_horizons: tuple = (1, 5, 21)
+    event_horizons: tuple = (1, 5, 21, 63, 126)
+    usable: float = 0.5
+    models: dict = field(default_factory=dict)
 
 
-S = Setup()
+_NOW: contextvars.ContextVar[Setup] = contextvars.ContextVar("setup", default=Setup())
+
+
+class _Current:
+    """Reads the fields of the setup that is in force."""
+
+    def __getattr__(self, name: str):
+        return getattr(_NOW.get(), name)
+
+
+S = _Current()
+
+
+def current() -> Setup:
+    return _NOW.get()
+
+
+@contextlib.contextmanager
+def using(setup: Setup):
+    """``setup`` is in force inside; queries that are registered have SQL for the defaults."""
+    mark = _NOW.set(setup)
+    try:
+        yield setup
+    finally:
+        _NOW.reset(mark)

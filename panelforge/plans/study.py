@@ -28,7 +28,7 @@ def calendar(panel: DataFrame, before: str | None = None) -> list[dt.date]:
     return [r["date"] for r in days.orderBy("date").collect()]
 
 
-def build_folds(days: list[dt.date]) -> list[splits.Fold]:
+def build_folds(days: list[dt.date]) -> list[splits.Bounds]:
     purge = max(S.purge, tg.label_end_offset(S.horizon, S.lag))
     folds = splits.walk_forward(days, S.train_years, S.test_months, purge, S.embargo, S.min_train)
     for f in folds:
@@ -36,50 +36,28 @@ def build_folds(days: list[dt.date]) -> list[splits.Fold]:
     return folds
 
 
-def forecast(panel: DataFrame, models: list[str], days: list[dt.date], least: float = 0.5) -> DataFrame:
+def forecast(panel: DataFrame, models: list[str], days: list[dt.date]) -> DataFrame:
     features = views.design_features(panel)
-    rows = materialise(ft.usable_rows(panel, features, least), "usable")
-    settings = {"gbm": {"rounds": 40, "min_leaf": 20}}
-    return materialise(runner.run_walk_forward(rows, features, build_folds(days), models, settings), "predictions")
+    rows = materialise(ft.usable_rows(panel, features, S.usable), "usable")
+    return materialise(runner.run_walk_forward(rows, features, build_folds(days), models, S.models), "predictions")
 
 
 def scores(panel: DataFrame, preds: DataFrame) -> DataFrame:
     return runner.score_models(preds, panel.select("date", "ticker", F.col("target").alias("y")))
 
 
-def raw_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return materialise(views.residuals(spark, sf), "panel")
-
-
-def legs(panel: DataFrame) -> DataFrame:
-    sec = panel.select("date", F.col("sector").alias("leg"), F.col("sec_ret").alias("leg_ret")).distinct()
-    return sec.unionByName(panel.select("date", F.lit("MKT").alias("leg"), F.col("mkt_ret").alias("leg_ret")).distinct())
-
-
-def noise():
-    day = F.datediff("date", F.lit("1995-01-02").cast("date"))
-    return ((day * 7919 + F.substring("ticker", 2, 2).cast("int") * 104729) % 10007) / 10007
-
-
-def options() -> dict:
-    return {
-        "gross": S.gross, "cap": S.cap, "execution_lag": S.lag, "cost_bps": S.cost, "spread_bps": S.spread,
-        "borrow_bps_annual": S.borrow, "max_daily_turnover": S.turnover,
-    }
-
-
 def books(spark: SparkSession, sf: str, preds: DataFrame) -> DataFrame:
     """Metrics of each model's width-gated book."""
-    panel, out = raw_panel(spark, sf), None
+    panel, legs, out = materialise(views.residuals(spark, sf), "panel"), views.leg_returns(spark, sf), None
     for (model,) in preds.select("model").distinct().orderBy("model").collect():
         own = preds.where(F.col("model") == model).drop("model", "fold")
-        gated = runner.gate_variants(own, panel, S.share, S.gate_least, noise())
-        daily = runner.backtest_predictions(gated, panel, legs(panel), ["gate_width"], **options())
+        gated = runner.gate_variants(own, panel, S.share, S.gate_least, views.noise())
+        daily = runner.backtest_predictions(gated, panel, legs, ["gate_width"], **views.options())
         m = bt.performance_metrics(daily).withColumn("book", F.lit(model))
         out = m if out is None else out.unionByName(m)
     return out
 
 
 def ablation(spark: SparkSession, sf: str, preds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    panel = raw_panel(spark, sf)
-    return runner.ablate_gate(preds.drop("model", "fold"), panel, legs(panel), S.share, S.gate_least, noise(), **options())
+    panel = materialise(views.residuals(spark, sf), "panel")
+    return runner.ablate_gate(preds.drop("model", "fold"), panel, views.leg_returns(spark, sf), S.share, S.gate_least, views.noise(), **views.options())

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.colops import average_rank
+from ..functions.storage import materialise
 from ..operators import events as ev
 from ..operators import features as ft
-from ..operators import gate, signal
+from ..operators import gate, runner
 from ..operators import targets as tg
 from ..sources import bars as src
 from ..sources import filings as fl
@@ -19,8 +23,35 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return src.table(spark, sf, name)
 
 
+_BUILT: contextvars.ContextVar[dict | None] = contextvars.ContextVar("built", default=None)
+
+
+@contextlib.contextmanager
+def building():
+    """Inside, what several branches of one query share is built and written once."""
+    mark = _BUILT.set({})
+    try:
+        yield
+    finally:
+        _BUILT.reset(mark)
+
+
+def _once(tag: str, build) -> DataFrame:
+    """``build()`` as a table, the same one for all who ask inside of ``building``."""
+    held = _BUILT.get()
+    if held is None:
+        return build()
+    if tag not in held:
+        held[tag] = materialise(build(), tag)
+    return held[tag]
+
+
+def cells(spark, sf, freq: str = "week") -> DataFrame:
+    return _once(f"cells-{freq}", lambda: src.price_cells(table(spark, sf, "lineitem"), S.names, freq))
+
+
 def bars(spark, sf, freq: str = "week") -> DataFrame:
-    return src.derived_bars(table(spark, sf, "lineitem"), S.names, freq)
+    return src.derived_bars(cells(spark, sf, freq))
 
 
 def grid(spark, sf, freq: str = "week") -> DataFrame:
@@ -28,19 +59,19 @@ def grid(spark, sf, freq: str = "week") -> DataFrame:
     return src.densified(b, src.trading_calendar(b))
 
 
-def panel(spark, sf) -> DataFrame:
-    """Dense weekly panel with ret, mkt_ret, sec_ret."""
-    line, b = table(spark, sf, "lineitem"), bars(spark, sf)
+def panel(spark, sf, freq: str = "week") -> DataFrame:
+    """Dense panel with ret, mkt_ret, sec_ret."""
+    c, b = cells(spark, sf, freq), bars(spark, sf, freq)
     cal = src.trading_calendar(b)
-    market = src.market_prices(line).join(cal, "date", "right")
-    sectors = src.sector_prices(line, S.names)
+    market = src.market_prices(c).join(cal, "date", "right")
+    sectors = src.sector_prices(c)
     dense = cal.crossJoin(sectors.select("sector").distinct())  # dates x six sectors
     sectors = dense.join(sectors, ["sector", "date"], "left")
-    return tg.with_factor_returns(src.densified(b, cal), market, sectors)
+    return _once(f"panel-{freq}", lambda: tg.with_factor_returns(src.densified(b, cal), market, sectors))
 
 
-def residuals(spark, sf, sigmas: float | None = None, alpha: bool = False) -> DataFrame:
-    return tg.residual_returns(panel(spark, sf), S.window, S.least, sigmas, alpha)
+def residuals(spark, sf, sigmas: float | None = None, alpha: bool = False, freq: str = "week") -> DataFrame:
+    return tg.residual_returns(panel(spark, sf, freq), S.window, S.least, sigmas, alpha)
 
 
 def stock(spark, sf) -> DataFrame:
@@ -50,7 +81,7 @@ def stock(spark, sf) -> DataFrame:
 def dates(spark, sf) -> DataFrame:
     """date, mkt_ret, breadth, xs_dispersion_20d and auxiliary series on calendar dates."""
     p = panel(spark, sf)
-    aux = src.aux_prices(table(spark, sf, "lineitem"), table(spark, sf, "orders"))
+    aux = src.aux_prices(table(spark, sf, "lineitem"), table(spark, sf, "orders"), bars(spark, sf))
     per_date = p.groupBy("date").agg(F.max("mkt_ret").alias("mkt_ret"))
     return per_date.join(ft.breadth_and_dispersion(p), "date").join(aux, "date", "left")
 
@@ -58,8 +89,11 @@ def dates(spark, sf) -> DataFrame:
 AUX = ["vix", "tnx", "irx", "rsp", "hyg", "tlt"]
 
 
-def design(spark, sf) -> DataFrame:
+def design(spark, sf, digits: int | None = None) -> DataFrame:
+    """The design matrix; with ``digits`` per-name features are rounded before they are ranked."""
     s = tg.forward_target(stock(spark, sf), S.horizon, S.lag)
+    if digits:
+        s = s.withColumns({c: F.round(c, digits) for c in ft.STOCK})
     d = dates(spark, sf)
     cal = ft.calendar_features(d.select("date"), src.event_dates(spark))
     return ft.build_features(s, ft.market_features(d, AUX), cal)
@@ -80,13 +114,26 @@ def preds(spark, sf) -> DataFrame:
     return base.select("date", "ticker", F.round("target", 8).alias("y"), "vol", *[c.alias(n) for n, c in q.items()])
 
 
-def gated(spark, sf) -> DataFrame:
-    p = preds(spark, sf).withColumn("width", F.round(signal.interval_width(), 8))
+def noise():
+    """A fixed number for each date and name, for the random gate."""
     day, name = F.datediff("date", F.lit("1995-01-02").cast("date")), F.substring("ticker", 2, 2).cast("int")
-    noise = ((day * 7919 + name * 104729) % 10007) / 10007
-    p = p.withColumn("noise", noise).withColumn("gate_width", gate.tightest(F.col("width"), S.share, S.gate_least))
-    p = p.withColumn("gate_vol", gate.matched_count(F.col("vol"), F.col("gate_width"), S.gate_least))
-    return p.withColumn("gate_random", gate.matched_count(F.col("noise"), F.col("gate_width"), S.gate_least)).withColumn("gate_none", F.lit(True))
+    return ((day * 7919 + name * 104729) % 10007) / 10007
+
+
+def gated(spark, sf) -> DataFrame:
+    return _once("gates", lambda: runner.gate_variants(preds(spark, sf), residuals(spark, sf), S.share, S.gate_least, noise(), DIGITS))
+
+
+#: Digits of gate criteria and weights in queries that are compared with their SQL.
+DIGITS = 8
+
+
+def options() -> dict:
+    """How a book is run, as the setup in force says."""
+    return {
+        "gross": S.gross, "cap": S.cap, "execution_lag": S.lag, "cost_bps": S.cost, "spread_bps": S.spread,
+        "borrow_bps_annual": S.borrow, "max_daily_turnover": S.turnover,
+    }
 
 
 def leg_returns(spark, sf) -> DataFrame:
@@ -106,6 +153,6 @@ def study(spark, sf) -> DataFrame:
     b = grid(spark, sf)
     cal = b.select("date").distinct()
     entered = ev.entry_dates(ev.event_rows(t), cal)
-    market = src.market_prices(table(spark, sf, "lineitem")).join(cal, "date", "left_semi")
+    market = src.market_prices(cells(spark, sf)).join(cal, "date", "left_semi")
     out = ev.event_returns(entered, ev.abnormal_returns(b, S.event_horizons), market, S.event_horizons)
     return ev.with_relative_size(out, ev.liquidity(b))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +21,33 @@ def quarters(start_year: int, end_year: int) -> list[str]:
     return [f"{y}q{q}" for y in range(start_year, end_year + 1) for q in range(1, 5)]
 
 
+def read_quarters(spark: SparkSession, paths: str | list[str], member: str, columns: list[str]) -> DataFrame:
+    """The wanted columns of a tab-separated member of quarterly ZIP archives, all as text.
+
+    Archives are read by Spark, one at a time in a task; a column that an archive lacks is
+    missing in its rows, an archive without the member has none.
+    """
+    text = csv.ConvertOptions(column_types=dict.fromkeys(columns, pa.string()), include_columns=columns, include_missing_columns=True, strings_can_be_null=True, null_values=[""])
+    form = csv.ParseOptions(delimiter="\t", quote_char=False)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("content"):
+                with zipfile.ZipFile(io.BytesIO(raw.as_py())) as archive:
+                    held = {n.rsplit("/", 1)[-1].upper(): n for n in archive.namelist()}
+                    if member.upper() in held:
+                        with archive.open(held[member.upper()]) as f:
+                            yield from csv.open_csv(f, parse_options=form, convert_options=text)
+
+    files = spark.read.format("binaryFile").load(paths).select("content")
+    return files.mapInArrow(unpack, ", ".join(f"{c} string" for c in columns))
+
+
+def write_sorted(frame: DataFrame, path: str, keys: list[str]) -> None:
+    """A Parquet table whose files follow one another in the order of ``keys``."""
+    frame.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
 def read_drifting_tsv(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
     """The wanted columns of several files, all as text; a file that lacks one has it missing."""
     out = None

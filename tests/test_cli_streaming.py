@@ -3,27 +3,33 @@ import os
 
 import pytest
 
-from panelforge import cli
-from panelforge.config import Config, load_config
+from panelforge import cli, config
 from panelforge.functions import storage
 from panelforge.operators import backtest as bt
+from panelforge.plans import setup
 from panelforge.streaming.books import capped_stream
 
 SF = "/root/testdata/sf0.01"
 
 
 def test_config(tmp_path):
-    (tmp_path / "c.yaml").write_text("a:\n  b: 1\nlist: [1, 2]\n")
-    c = load_config(tmp_path / "c.yaml")
-    assert c.a.b == 1 and c.get("a.b") == 1 and c.get("a.z", 5) == 5 and "a" in c and c["list"] == [1, 2]
-    copy = c.as_dict()
-    copy["a"]["b"] = 2
-    assert c.a.b == 1 and c.path("x") == tmp_path.resolve() / "x"
-    with pytest.raises(AttributeError):
-        c.missing
+    path = tmp_path / "c.yaml"
+    path.write_text("walk_forward:\n  train_years: 3\n  holdout: 2001-01-01\nmodels:\n  gbm: {rounds: 40}\nevents:\n  event_horizons: [1, 5]\n")
+    s = config.read(path)
+    assert (s.train_years, s.holdout, s.models, s.event_horizons, s.window) == (3.0, "2001-01-01", {"gbm": {"rounds": 40}}, (1, 5), 52)
+    found = config.tree(path)
+    assert config.at(found, "models.gbm.rounds") == 40 and config.at(found, "models.gbm.depth.x", 5) == 5
+    (tmp_path / "empty.yaml").write_text("")
+    assert config.read(tmp_path / "empty.yaml") == setup.Setup()
+    for text in ("nothing: {a: 1}", "panel: {holdout: x}", "panel: 3", "[1, 2]"):
+        path.write_text(text)
+        with pytest.raises(ValueError):
+            config.read(path)
     with pytest.raises(FileNotFoundError):
-        load_config(tmp_path / "none.yaml")
-    assert repr(Config({"k": 1})) == "Config(['k'])"
+        config.read(tmp_path / "none.yaml")
+    with setup.using(s):
+        assert setup.S.train_years == 3.0
+    assert setup.S.train_years == 2.0
 
 
 def test_shared_folder_is_the_sessions(spark):
@@ -58,7 +64,10 @@ def test_streamed_cap_equals_the_batch_one(spark, tmp_path):
 def test_commands(spark, tmp_path, capsys):
     out = str(tmp_path / "preds")
     cli.main(["folds", "--tables", SF])
-    assert "fold 0" in capsys.readouterr().out
+    every = capsys.readouterr().out
+    (tmp_path / "c.yaml").write_text("walk_forward: {test_months: 12}")
+    cli.main(["folds", "--tables", SF, "--config", str(tmp_path / "c.yaml")])
+    assert "fold 0" in every and 0 < capsys.readouterr().out.count("fold ") < every.count("fold ")
     cli.main(["bakeoff", "--tables", SF, "--models", "zero", "--out", out])
     assert "skill" in capsys.readouterr().out
     cli.main(["ablate-gate", "--tables", SF, "--models", "zero", "--out", out, "--cached"])

@@ -12,7 +12,8 @@ TABLES = "region nation customer supplier part orders lineitem events pages".spl
 CHECKED = [
     "returns_summary", "densified_grid", "simple_returns_padded", "residual_winsorised", "forward_target_h3", "feat_volume_amihud", "feat_calendar",
     "cross_sectional_rank", "folds_schedule", "pit_histogram", "daily_rank_ic", "weights_projected", "turnover_capped", "matched_vol_gate",
-    "filings_joined", "event_entry_asof", "liquidity_panel", "double_sort",
+    "filings_joined", "event_entry_asof", "liquidity_panel", "double_sort", "design_matrix", "gate_ablation", "event_report", "pit_pvalue",
+    "page_date_scrape", "cache_append", "cache_coverage", "event_dates_csv", "predictions_round_trip",
 ]
 
 
