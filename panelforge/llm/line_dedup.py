@@ -164,6 +164,14 @@ def _length(shared: Column) -> Column:
     return F.when(shared > 0, F.call_function("shiftleft", F.lit(1), shared - 1)).otherwise(F.lit(0))
 
 
+def _of_documents(lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The lists of the documents that some pair is in: a pair never leaves its two documents."""
+    docs = [pairs.select(F.col(f"{side}_doc_id").alias("o_doc_id"), F.col(f"{side}_key").alias("o_key")) for side in "pq"]
+    held = docs[0].unionByName(docs[1]).distinct()
+    same = lists["doc_id"].eqNullSafe(held["o_doc_id"]) & (lists["key"] == held["o_key"])
+    return lists.join(held, same, "left_semi")
+
+
 def common_prefixes(array: DataFrame) -> DataFrame:
     """The suffix array with ``lcp``: how many lines a suffix shares with the one before."""
     array = materialise(array.withColumn("lcp", F.coalesce(_length(_shared(F.col("hist"), F.col("before.hist"))), F.lit(0))), "neighbours")
@@ -191,6 +199,7 @@ def common_prefixes(array: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             break
         longer.append(pairs.select("at", "lcp"))
+        lists = materialise(_of_documents(lists, pairs), "lists")
     if not longer:
         return array
     longest = reduce(DataFrame.unionByName, longer).groupBy("at").agg(F.max("lcp").alias("longest"))
@@ -227,11 +236,11 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         within = Window.partitionBy(*_DOC).orderBy("seq").rangeBetween(1 - min_lines, 0)
         later = later.withColumn("later", F.max("later").over(within))
     dead = later.where("later").select(*_DOC, "line_no", F.lit(0).alias("lcp"))
-    none = F.lit(None).cast("int").alias("line_no")
     found = array.where("lcp > 0")
-    sides = [found.select(*_DOC, none, "lcp"), found.select(*[F.col(f"before.{c}").alias(c) for c in _DOC], none, "lcp")]
+    sides = found.select(*_DOC, "lcp").unionByName(found.select(*[F.col(f"before.{c}").alias(c) for c in _DOC], "lcp"))
+    longest = sides.groupBy(*_DOC).agg(F.max("lcp").alias("lcp")).withColumn("line_no", F.lit(None).cast("int"))
     return (
-        reduce(DataFrame.unionByName, sides, dead)
+        dead.unionByName(longest)
         .groupBy(*_DOC)
         .agg(F.sort_array(F.collect_set("line_no")).alias("dead"), F.max("lcp").alias("longest_run"))
     )
