@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at a time inside an Arrow batch. Spark bounds the batch itself by
 #: ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless the session says otherwise).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

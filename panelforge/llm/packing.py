@@ -40,7 +40,7 @@ GRAIN = 16
 END_ID = 2
 #: Other chunks and plain words whose ids a Python worker remembers; beyond, it forgets and begins anew.
 MEMORY_CHUNKS = 100_000
-MEMORY_WORDS = 700_000
+MEMORY_WORDS = 500_000
 #: The linear program is solved when it is this near to its bound, as a share.
 GAP = 5e-4
 #: Groups a length class is ranked in: this many, and one more for each SALT_ROWS rows.
