@@ -173,8 +173,10 @@ def _of_documents(lists: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def common_prefixes(array: DataFrame) -> DataFrame:
-    """The suffix array with ``lcp``: how many lines a suffix shares with the one before."""
-    array = materialise(array.withColumn("lcp", F.coalesce(_length(_shared(F.col("hist"), F.col("before.hist"))), F.lit(0))), "neighbours")
+    """The suffix array with ``lcp``: how many lines a suffix shares with the one before, whose
+    ``hist`` no longer matters then."""
+    lcp = F.coalesce(_length(_shared(F.col("hist"), F.col("before.hist"))), F.lit(0))
+    array = materialise(array.withColumns({"lcp": lcp, "before": F.col("before").dropFields("hist")}), "neighbours")
     lists = array.select(*_DOC, "seq", "hist")
     pairs = array.where("lcp > 1").select(
         "at",
@@ -230,7 +232,7 @@ def later_members(members: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """doc_id, key, dead (sorted numbers of the lines to delete), longest_run, where a line repeats."""
-    array = materialise(common_prefixes(suffix_array(ranked_suffixes(docs))), "suffix-array")
+    array = materialise(common_prefixes(suffix_array(ranked_suffixes(docs))).drop("hist"), "suffix-array")
     later = later_members(intervals(array, min_lines).select(*_DOC, "seq", "line_no", "interval"))
     if min_lines > 1:
         within = Window.partitionBy(*_DOC).orderBy("seq").rangeBetween(1 - min_lines, 0)
